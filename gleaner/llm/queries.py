@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import fold, table
 from gleaner.llm.language_filters import fit_language_filters, identify_language
+from gleaner.llm.quality_cnn import fit_quality, score_quality
 from gleaner.llm.quality_repeats import repeat_quality
+from gleaner.llm.toxicity_pu import fit_toxicity, score_toxicity
 
 
 def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +21,30 @@ def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, filters).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = fold(F.col("doc_id"), 5) == 0
+    model = fit_toxicity(docs.where(~held), labels.where(~held))
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeat_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
 
 
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = fold(F.col("doc_id"), 4) == 2
+    model = fit_quality(docs.where(~held), labels.where(~held))
+    return score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_filters": op4_language_filters,
+    "op5_pu_toxicity": op5_pu_toxicity,
     "op8_suffix_repeats": op8_suffix_repeats,
+    "op10_byte_cnn": op10_byte_cnn,
 }
 
 ORACLES: dict[str, str] = {}
