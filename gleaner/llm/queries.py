@@ -11,9 +11,15 @@ from gleaner.llm.common import fold, table
 from gleaner.llm.language_filters import fit_language_filters, identify_language
 from gleaner.llm.quality_cnn import fit_quality, score_quality
 from gleaner.llm.quality_repeats import repeat_quality
+from gleaner.llm.simhash_gph import near_duplicates
 from gleaner.llm.toxicity_pu import fit_toxicity, score_toxicity
 
 
+def op2_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, limit=3)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold(F.col("doc_id"), 5) == 0
@@ -41,6 +47,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_gph": op2_simhash_gph,
     "op4_language_filters": op4_language_filters,
     "op5_pu_toxicity": op5_pu_toxicity,
     "op8_suffix_repeats": op8_suffix_repeats,
