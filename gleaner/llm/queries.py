@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import fold, table
 from gleaner.llm.language_filters import fit_language_filters, identify_language
+from gleaner.llm.packing_hilbert import pack_along_curve
 from gleaner.llm.quality_cnn import fit_quality, score_quality
 from gleaner.llm.quality_repeats import repeat_quality
 from gleaner.llm.simhash_gph import near_duplicates
@@ -39,6 +40,17 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_along_curve(docs, tokenizer_path(), end_id=2, length=4096).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held = fold(F.col("doc_id"), 4) == 2
@@ -51,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_filters": op4_language_filters,
     "op5_pu_toxicity": op5_pu_toxicity,
     "op8_suffix_repeats": op8_suffix_repeats,
+    "op9_hilbert_packing": op9_hilbert_packing,
     "op10_byte_cnn": op10_byte_cnn,
 }
 
