@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import fold, table
 from gleaner.llm.language_filters import fit_language_filters, identify_language
+from gleaner.llm.mixing_tree import mix_sources
 from gleaner.llm.packing_hilbert import pack_along_curve
 from gleaner.llm.quality_cnn import fit_quality, score_quality
 from gleaner.llm.quality_repeats import repeat_quality
@@ -21,6 +22,11 @@ def op2_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("shards"))
+
+
 def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold(F.col("doc_id"), 5) == 0
@@ -60,6 +66,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_gph": op2_simhash_gph,
+    "op3_mixing_tree": op3_mixing_tree,
     "op4_language_filters": op4_language_filters,
     "op5_pu_toxicity": op5_pu_toxicity,
     "op8_suffix_repeats": op8_suffix_repeats,
