@@ -54,10 +54,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Drop every scratch table of this application; call it once results are written."""
-    for path in _scratch.pop(spark.sparkContext.applicationId, []):
-        delete_path(spark, path.rsplit("/", 1)[0])
+def release(spark: SparkSession, but: str | None = None) -> None:
+    """Drop the scratch tables of this application, one path aside; call it once results are written."""
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path != but:
+            delete_path(spark, path.rsplit("/", 1)[0])
 
 
 def fold(id_col: Column, modulus: int) -> Column:

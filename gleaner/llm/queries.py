@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm import license_digests
 from gleaner.llm.common import fold, table
 from gleaner.llm.language_filters import fit_language_filters, identify_language
 from gleaner.llm.mixing_tree import mix_sources
@@ -48,6 +49,10 @@ def op5_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digests.licence_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_inner_products(rows, F.col("id") % 50 == 0, k=5).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing_tree": op3_mixing_tree,
     "op4_language_filters": op4_language_filters,
     "op5_pu_toxicity": op5_pu_toxicity,
+    "op6_license_digests": op6_license_digests,
     "op7_pivot_topk": op7_pivot_topk,
     "op8_suffix_repeats": op8_suffix_repeats,
     "op9_hilbert_packing": op9_hilbert_packing,
@@ -97,6 +103,7 @@ ORACLES: dict[str, str] = {
             CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN first <> page_id THEN first END AS refers_to
         FROM h LEFT JOIN f ON h.digest = f.digest AND h.n >= 100""",
+    "op6_license_digests": license_digests.oracle_sql(),
     "op7_pivot_topk": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v

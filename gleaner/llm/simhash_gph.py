@@ -73,16 +73,17 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, fp (the fingerprint as a signed long) and the carried columns."""
+    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [fingerprint(t if isinstance(t, str) else None, shingle) for t in batch[text_col]]
-            yield pd.DataFrame({"id": batch[id_col], "fp": np.array(made, np.uint64).view(np.int64)})
+            yield pd.DataFrame({"id": batch[id_col], "fp": np.array(made, np.uint64).view(np.int64)} | {c: batch[c] for c in carry})
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"id {kind}, fp long")
+    return docs.select(*dict.fromkeys([id_col, text_col, *carry])).mapInPandas(run, f"id {kind}, fp long{fields}")
 
 
 @dataclass(frozen=True)
@@ -317,3 +318,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3, id_col: s
     linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
     classes = first.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
     return prints.join(classes, "fp").select("id", "fp", "component")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, limit: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one row of each near-duplicate component: that with the smallest id (nulls last).
+
+    Rows that repeat id and text are copies like any others. Column names of docs are free.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{k}" for k in range(len(names))])
+    own_id, own_text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
+    keyed = plain.withColumn("_h", F.xxhash64(own_text, F.lit(2)))
+    keys = materialise(fingerprints(keyed, shingle, own_id, own_text, carry=("_h",)), "keys")
+    first = materialise(keys.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    roots = materialise(connected_components(near_links(first, limit)), "roots")
+    rooted = keys.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_h")).alias("best"))
+    kept = materialise(best.select(F.col("best.id").alias("_id"), F.col("best._h").alias("_kh")), "kept")
+    left = keyed.join(kept, keyed[own_id].eqNullSafe(kept["_id"]) & (keyed["_h"] == kept["_kh"]), "left_semi")
+    if not keys.groupBy("id", "_h").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates([own_id, "_h"])
+    return left.drop("_h").toDF(*names)
