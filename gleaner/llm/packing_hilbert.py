@@ -66,35 +66,43 @@ class WordTokenizer:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        """Put words into the memo: their pretokens are encoded in one call with spaces between."""
-        parts = [_SPLIT.findall(w) for w in words]
-        flat = [*chain.from_iterable(parts)]
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't in the memo: their unknown pretokens are encoded in one call with spaces between."""
+        memo, parts = self.memo, [_SPLIT.findall(w) for w in words]
+        flat = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in memo]
         ids = self._whole(" ".join(flat))
         ends = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
         if len(ends) != len(flat) + 1:
-            self.memo.update((w, self._whole(w).tobytes()) for w in words)
-            return
-        cut = (4 * ends[np.append(0, np.cumsum([*map(len, parts)]))]).tolist()
-        raw = ids.tobytes()
-        self.memo.update(zip(words, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
+            return {w: self._whole(w).tobytes() for w in words}
+        raw, cut = ids.tobytes(), (4 * ends).tolist()
+        new = dict(zip(flat, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
+        return new | {w: b"".join([new[p] if p in new else memo[p] for p in own]) for w, own in zip(words, parts, strict=True) if w not in new}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        get, cut, missed = self.memo.get, [], {}
         for k, text in enumerate(texts):
             if not self.exact and _PLAIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
-                cut.append((k, text.lower().split()))
+                words = text.lower().split()
+                found = [*map(get, words)]
+                holes = []
+                if None in found:
+                    holes = [i for i, x in enumerate(found) if x is None]
+                    words = [words[i] for i in holes]
+                    missed.update(dict.fromkeys(words))
+                    cut.append((k, found, holes, words))
+                else:
+                    out[k] = np.frombuffer(b"".join(found), "<u4")
             else:
                 out[k] = self._whole(text)
-        if new := [*(set(chain.from_iterable(p for _, p in cut)) - self.memo.keys())]:
-            self._learn(new)
-        get = self.memo.__getitem__
-        for k, words in cut:
-            out[k] = np.frombuffer(b"".join(map(get, words)), "<u4")
-        if len(self.memo) > _MEMO:
-            for w in new:
-                del self.memo[w]
+        if missed:
+            new = self._learn([*missed])
+            for k, found, holes, words in cut:
+                for i, w in zip(holes, words, strict=True):
+                    found[i] = new[w]
+                out[k] = np.frombuffer(b"".join(found), "<u4")
+            if len(self.memo) < _MEMO:
+                self.memo |= new
         return out
 
 
@@ -189,8 +197,8 @@ def _laid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = int(ends.iloc[-1]) if len(batch) else at
 
 
-def pack_along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+def pack_along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row per piece: id, start, length, ids (little-endian unsigned 32-bit; null without with_ids), ids_crc32, doc_tokens, sequence_id, offset."""
     table = materialise(tokenised(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
     kind = table.schema["id"].dataType.simpleString()
     ordered = table.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "id", "n")
@@ -210,7 +218,7 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 2, leng
                     sequence, offset = divmod(place + done, length)
                     size = min(n - done, length - offset)
                     piece = ids[done : done + size].tobytes()
-                    rows.append((id_, done, size, piece, zlib.crc32(piece), n, sequence, offset))
+                    rows.append((id_, done, size, piece if with_ids else None, zlib.crc32(piece), n, sequence, offset))
                     done += size
                 if len(rows) >= 2000:
                     yield pd.DataFrame(rows, columns=names)

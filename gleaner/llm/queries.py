@@ -71,7 +71,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack_along_curve(docs, tokenizer_path(), end_id=2, length=4096).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack_along_curve(docs, tokenizer_path(), end_id=2, length=4096, with_ids=False).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
