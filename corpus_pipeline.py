@@ -60,7 +60,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
-    pieces = pack_along_curve(docs, tokenizer_path(), end_id=2, length=4096)
+    pieces = pack_along_curve(docs, tokenizer_path(), end_id=2, length=4096, with_ids=False)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
