@@ -13,20 +13,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Scratch folders handed out per application, so that release() can drop them.
 _scratch: dict[str, list[str]] = {}
+_own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Only where it is unset, and driver and executors are one process (tests), a temporary folder is made.
     """
+    global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="gleaner-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    _own_dir = _own_dir or tempfile.mkdtemp(prefix="gleaner-")
+    return _own_dir
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

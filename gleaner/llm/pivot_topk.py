@@ -20,8 +20,8 @@ Components are floor(256 * x); vectors of different lengths are not compared. Sc
 exact: products run in float64 where every partial sum is an integer below 2**53, else
 in 64-bit integers.
 
-Edge cases: vectors that are null, empty or hold a null or non-finite component, and
-rows without an id take no part; repeated rows (same id and vector) count once; ties go
+Edge cases: vectors that are null, empty or hold a null or non-finite component, those
+whose squared norm reaches 2**62 (scores are longs), and rows without an id take no part; repeated rows (same id and vector) count once; ties go
 to the smaller id; with fewer candidates than k all are returned; an empty table gives
 an empty result; columns other than those named are not read.
 """
@@ -49,7 +49,7 @@ def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             out = []
             for v in batch["v"]:
                 x = np.floor(np.asarray(v, np.float64) * scale)
-                out.append(x.astype("<i8").tobytes() if np.abs(x).max() < 2.0**62 else None)
+                out.append(x.astype("<i8").tobytes() if (x * x).sum() < 2.0**62 else None)
             yield pd.DataFrame({"id": batch["id"], "vec": out, "d": [len(v) for v in batch["v"]]})
 
     v = F.col(vector_col)
