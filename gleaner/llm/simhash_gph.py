@@ -316,7 +316,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3, id_col: s
     roots = materialise(connected_components(near_links(first, limit)), "roots")
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
-    classes = first.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    # a table of its own, so that both sides of the last join are plain shuffles and a hot fingerprint's side can be split
+    classes = materialise(first.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
     return prints.join(classes, "fp").select("id", "fp", "component")
 
 
