@@ -35,8 +35,8 @@ from gleaner.llm.common import materialise
 
 #: Vector width, projected dimensions, bits of each on the curve.
 WIDTH, DIMS, ORDER = 1024, 4, 15
-#: Words kept in a worker's memo (about 150 MB); words beyond it are encoded batch by batch.
-_MEMO = 700_000
+#: Words kept in a worker's memo (about 100 MB); words beyond it are encoded batch by batch.
+_MEMO = 500_000
 #: Documents and characters tokenised at a time.
 _DOCS, _CHARS = 1024, 4_000_000
 #: Texts of these characters only are in normal form and change case one by one, so that their
