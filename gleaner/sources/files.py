@@ -53,7 +53,7 @@ def write_csv(df: DataFrame, path: str, bom: bool = True, single: bool = True) -
     out = df.coalesce(1) if single else df
     if bom and df.columns:
         out = out.withColumnRenamed(df.columns[0], BOM + df.columns[0])
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", "\"").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
