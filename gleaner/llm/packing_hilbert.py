@@ -35,10 +35,10 @@ from gleaner.llm.common import materialise
 
 #: Vector width, projected dimensions, bits of each on the curve.
 WIDTH, DIMS, ORDER = 1024, 4, 15
-#: Words kept in a worker's memo (about 100 MB); words beyond it are encoded batch by batch.
-_MEMO = 500_000
+#: Words kept in a worker's memo (about 100 MB with its table); words beyond it are encoded batch by batch.
+_MEMO = 300_000
 #: Documents and characters tokenised at a time.
-_DOCS, _CHARS = 1024, 4_000_000
+_DOCS, _CHARS = 1024, 3_000_000
 #: Texts of these characters only are in normal form and change case one by one, so that their
 #: pretokens can be looked up singly; the classes are those of the tokenizer's own split, after lower-casing.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-įı-ſ]*")
@@ -116,6 +116,11 @@ def worker_tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def _forget() -> None:
+    """Later stages run in the same workers and need the memory."""
+    _tokenizers.clear()
+
+
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     first, chars = 0, 0
     for k, n in enumerate(sizes.tolist()):
@@ -190,6 +195,7 @@ def _laid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Number this partition's tokens from 0: at is where a document begins."""
     from pyspark import TaskContext
 
+    _forget()
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
         ends = at + batch["n"].cumsum()
@@ -208,6 +214,7 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 2, leng
         before[part], total = total, total + n
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _forget()
         for batch in batches:
             rows = []
             for id_, part, at, n, raw in zip(batch["id"], batch["part"], batch["at"], batch["n"], batch["ids"], strict=True):
