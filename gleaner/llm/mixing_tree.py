@@ -8,7 +8,7 @@ Draws. A source's documents are hashed into blocks of about ``block_words`` word
 A target of p whole passes over its source and a rest takes every block p times,
 then the first blocks of a seeded permutation while they fit in the rest; the
 block that no longer fits is filled document by document, so the words taken miss
-the target by less than the smallest document left out of that block.
+the target by less than the smallest document left out of that block, mostly by far less.
 
 Shards. The block quotas of all sources are dealt to the output shards by a
 binary tree: at each node the left half's quotas are one multivariate-
@@ -30,6 +30,7 @@ columns other than those named are carried only where asked for.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, gcd
@@ -167,14 +168,25 @@ def _block_copies(blocks: DataFrame, sources: list[Source], settings: MixSetting
 
 
 def first_fit(sizes: list[int], fill: int) -> list[bool]:
-    """In the given order take what still fits; then one more, the smallest left, if that comes nearer."""
+    """In the given order take what still fits; then the one exchange, or the one more, that comes nearest to fill."""
     taken, left = [], fill
     for n in sizes:
         taken.append(n <= left)
         left -= n if n <= left else 0
-    spare = min((n, k) for k, n in enumerate(sizes) if not taken[k]) if not all(taken) else None
-    if spare and spare[0] - left < left:
-        taken[spare[1]] = True
+    spare = sorted((n, k) for k, n in enumerate(sizes) if not taken[k])
+    if not left or not spare:
+        return taken
+    # (distance from fill, what goes, what comes): nothing, the smallest spare one, or a taken one for a larger spare one
+    best = min((left, -1, -1), (abs(left - spare[0][0]), -1, spare[0][1]))
+    for k, n in enumerate(sizes):
+        if taken[k]:
+            at = bisect_right(spare, (n + left, len(sizes)))
+            for m, j in spare[max(0, at - 1) : at + 1]:
+                best = min(best, (abs(left - (m - n)), k, j))
+    if best[1] >= 0:
+        taken[best[1]] = False
+    if best[2] >= 0:
+        taken[best[2]] = True
     return taken
 
 

@@ -56,14 +56,29 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The unsigned 64-bit SimHash of a text's word shingles; 0 without a word."""
+    return _majority(_shingle_hashes(text, shingle, seed))
+
+
+def fingerprint_pair(text: str | None, shingle: int = 3, seed: int = 42) -> tuple[int, int]:
+    """The fingerprint and a second one, of the same hashes mixed again, to verify links with."""
+    h = _shingle_hashes(text, shingle, seed)
+    again = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    again = (again ^ (again >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return _majority(h), _majority(again ^ (again >> np.uint64(31)))
+
+
+def _shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
         parts = [b" ".join(words)]
     else:
         parts = list(map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False)))
-    h = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts))
+    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts))
+
+
+def _majority(h: np.ndarray) -> int:
     by_byte = h.view(np.uint8).reshape(-1, 8)
     if len(h) < 400:
         counts = np.unpackbits(by_byte, axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -73,17 +88,19 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, fp (the fingerprint as a signed long) and the carried columns."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), second: bool = False) -> DataFrame:
+    """id, fp (the fingerprint as a signed long), with ``second`` fp2, and the carried columns."""
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [fingerprint(t if isinstance(t, str) else None, shingle) for t in batch[text_col]]
-            yield pd.DataFrame({"id": batch[id_col], "fp": np.array(made, np.uint64).view(np.int64)} | {c: batch[c] for c in carry})
+            texts = [t if isinstance(t, str) else None for t in batch[text_col]]
+            made = np.array([fingerprint_pair(t, shingle) if second else (fingerprint(t, shingle),) for t in texts], np.uint64).reshape(-1, 1 + second)
+            own = {"fp": made[:, 0].view(np.int64)} | ({"fp2": made[:, 1].view(np.int64)} if second else {})
+            yield pd.DataFrame({"id": batch[id_col]} | own | {c: batch[c] for c in carry})
 
-    return docs.select(*dict.fromkeys([id_col, text_col, *carry])).mapInPandas(run, f"id {kind}, fp long{fields}")
+    return docs.select(*dict.fromkeys([id_col, text_col, *carry])).mapInPandas(run, f"id {kind}, fp long{', fp2 long' if second else ''}{fields}")
 
 
 @dataclass(frozen=True)
@@ -167,7 +184,7 @@ def allocate(n: int, both: np.ndarray, limit: int, entry_cost: float = 50.0) ->
             pairs = n * max(n - 1, 0) / 2 * agree_share(n, both, bits, min(limit, len(bits)))
             for u in range(units + 1):
                 for t in range(min(u, len(pairs)) + 1):
-                    c = cost[i, u - t] + (0 if t == 0 else pairs[t - 1] + entry_cost * n * comb(len(bits), t - 1))
+                    c = cost[i, u - t] + (0 if t == 0 else pairs[t - 1] + entry_cost * max(n, 1) * comb(len(bits), t - 1))
                     if c < cost[i + 1, u]:
                         cost[i + 1, u], pick[i + 1, u] = c, t
         if best is None or cost[m, units] < best[0]:
@@ -222,7 +239,21 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Linking:
+    """Fingerprints link at up to ``limit`` bits. With ``total``, those over ``sure`` bits apart link only if they and
+    their second fingerprints together differ in up to total bits: a narrower estimate of the texts' similarity."""
+
+    limit: int = 3
+    total: int | None = None
+    sure: int = 3
+
+    def holds(self, first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+        near = first <= self.limit
+        return near if second is None else near & ((first <= self.sure) | (first + second <= self.total))
+
+
+def bucket_links(keys: np.ndarray, fps: np.ndarray, rule: Linking, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links between fingerprints that follow each other under one key. keys: sorted."""
     found_u, found_v = [], []
     at = np.arange(len(keys))
@@ -230,7 +261,10 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndar
     while len(at):
         at = at[at + gap < len(keys)]
         at = at[keys[at] == keys[at + gap]]
-        near = at[np.bitwise_count(fps[at] ^ fps[at + gap]) <= limit]
+        apart = np.bitwise_count(fps[at] ^ fps[at + gap])
+        close = apart <= rule.limit
+        near, apart = at[close], apart[close]
+        near = near[rule.holds(apart, None if second is None else np.bitwise_count(second[near] ^ second[near + gap]))]
         if len(near):
             found_u.append(fps[near])
             found_v.append(fps[near + gap])
@@ -243,58 +277,62 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndar
     return _forest(np.concatenate(found_u), np.concatenate(found_v))
 
 
+def _entries(rows: pd.DataFrame, masks: np.ndarray, cut: int = 16) -> Iterator[pd.DataFrame]:
+    """key, mask, fp, fp2 of every row under every mask."""
+    fps, second = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["fp2"].to_numpy(np.int64)
+    for first in range(0, len(masks), cut):
+        some = masks[first : first + cut]
+        mask, value = np.repeat(some, len(fps)), np.tile(fps, len(some))
+        yield pd.DataFrame({"key": _mix(value, mask), "mask": mask.view(np.int64), "fp": value.view(np.int64), "fp2": np.tile(second, len(some))})
+
+
+_ENTRY = "key long, mask long, fp long, fp2 long"
+
+
 def _index(distinct: DataFrame, masks: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            for first in range(0, len(masks), 16):
-                some = masks[first : first + 16]
-                mask = np.repeat(some, len(fps))
-                value = np.tile(fps, len(some))
-                yield pd.DataFrame({"key": _mix(value, mask), "mask": mask.view(np.int64), "fp": value.view(np.int64)})
+            yield from _entries(batch, masks)
 
-    return distinct.select("fp").mapInPandas(run, "key long, mask long, fp long")
+    return distinct.select("fp", "fp2").mapInPandas(run, _ENTRY)
 
 
 def _redeal(heavy: DataFrame, limit: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[int, list[int]] = {}
         for batch in batches:
             for mask, group in batch.groupby("mask"):
-                whole = int(np.int64(mask).view(np.uint64))
-                deeper = np.array(memo.setdefault(whole, _deeper(whole, limit)), np.uint64)
-                fps = group["fp"].to_numpy(np.int64).view(np.uint64)
-                masks, value = np.repeat(deeper, len(fps)), np.tile(fps, len(deeper))
-                yield pd.DataFrame({"key": _mix(value, masks), "mask": masks.view(np.int64), "fp": value.view(np.int64)})
+                yield from _entries(group, np.array(_deeper(int(np.int64(mask).view(np.uint64)), limit), np.uint64))
 
-    return heavy.select("mask", "fp").mapInPandas(run, "key long, mask long, fp long")
+    return heavy.select("mask", "fp", "fp2").mapInPandas(run, _ENTRY)
 
 
-def _links(index: DataFrame, limit: int) -> DataFrame:
+def _links(index: DataFrame, rule: Linking) -> DataFrame:
     """u, v from buckets that are light: a sorted stream, cut where a key ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
 
-        def pairs(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
-            u, v = bucket_links(keys, fps, limit)
+        def pairs(keys: np.ndarray, fps: np.ndarray, second: np.ndarray) -> pd.DataFrame:
+            u, v = bucket_links(keys, fps.view(np.uint64), rule, None if rule.total is None else second.view(np.uint64))
             return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
         for batch in batches:
-            keys = np.concatenate([rest_k, batch["key"].to_numpy(np.int64)])
-            fps = np.concatenate([rest_f, batch["fp"].to_numpy(np.int64).view(np.uint64)])
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            rest_k, rest_f = keys[cut:], fps[cut:]
+            held = [np.concatenate([a, batch[c].to_numpy(np.int64)]) for a, c in zip(rest, ("key", "fp", "fp2"), strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            rest = [a[cut:] for a in held]
             if cut:
-                yield pairs(keys[:cut], fps[:cut])
-        if len(rest_k):
-            yield pairs(rest_k, rest_f)
+                yield pairs(*[a[:cut] for a in held])
+        if len(rest[0]):
+            yield pairs(*rest)
 
-    return index.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long")
+    return index.select("key", "fp", "fp2").repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long")
 
 
-def near_links(distinct: DataFrame, limit: int = 3, heavy: int = HEAVY) -> DataFrame:
-    """u, v: links that connect all fingerprints within limit bits of each other. distinct: fp, each once."""
+def near_links(distinct: DataFrame, rule: Linking = Linking(), heavy: int = HEAVY) -> DataFrame:
+    """u, v: links that connect all fingerprints that the rule links. distinct: fp, each once, and for a rule with a total fp2."""
+    limit = rule.limit
+    if "fp2" not in distinct.columns:
+        distinct = distinct.withColumn("fp2", F.lit(0).cast("long"))
     n, both = bit_moments(distinct)
     index = _index(distinct, masks_of(allocate(n, both, limit)))
     found: DataFrame | None = None
@@ -302,9 +340,9 @@ def near_links(distinct: DataFrame, limit: int = 3, heavy: int = HEAVY) -> DataF
         index = materialise(index, "index")
         crowded = materialise(index.groupBy("key", "mask").count().where((F.col("count") > heavy) & (F.bit_count(F.col("mask")) < BITS - limit)).select("key", "mask"), "crowded")
         if crowded.isEmpty():
-            links = _links(index, limit)
+            links = _links(index, rule)
             return links if found is None else found.unionByName(links)
-        light = _links(index.join(crowded, ["key", "mask"], "left_anti"), limit)
+        light = _links(index.join(crowded, ["key", "mask"], "left_anti"), rule)
         found = light if found is None else found.unionByName(light)
         index = _redeal(index.join(crowded, ["key", "mask"], "left_semi"), limit)
 
@@ -313,7 +351,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3, id_col: s
     """One row per document: id, fp, component (the smallest id that links reach)."""
     prints = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     first = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = materialise(connected_components(near_links(first, limit)), "roots")
+    roots = materialise(connected_components(near_links(first, Linking(limit))), "roots")
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
     # a table of its own, so that both sides of the last join are plain shuffles and a hot fingerprint's side can be split
@@ -321,7 +359,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3, id_col: s
     return prints.join(classes, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, limit: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, rule: Linking = Linking(), heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one row of each near-duplicate component: that with the smallest id (nulls last).
 
     Rows that repeat id and text are copies like any others. Column names of docs are free.
@@ -330,9 +368,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, limit: int = 3, id_col: str = "d
     plain = docs.toDF(*[f"_c{k}" for k in range(len(names))])
     own_id, own_text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
     keyed = plain.withColumn("_h", F.xxhash64(own_text, F.lit(2)))
-    keys = materialise(fingerprints(keyed, shingle, own_id, own_text, carry=("_h",)), "keys")
-    first = materialise(keys.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = materialise(connected_components(near_links(first, limit)), "roots")
+    keys = materialise(fingerprints(keyed, shingle, own_id, own_text, carry=("_h",), second=rule.total is not None), "keys")
+    seconds = [F.min("fp2").alias("fp2")] if rule.total is not None else []
+    first = materialise(keys.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), *seconds), "distinct")
+    roots = materialise(connected_components(near_links(first, rule, heavy)), "roots")
     rooted = keys.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_h")).alias("best"))
     kept = materialise(best.select(F.col("best.id").alias("_id"), F.col("best._h").alias("_kh")), "kept")

@@ -28,6 +28,7 @@ def test_tree_is_exact_and_disjoint():
 def test_first_fit():
     assert first_fit([5, 4, 3], 8) == [True, False, True]
     assert first_fit([10], 6) == [True] and first_fit([10], 5) == [False] and first_fit([], 3) == []
+    assert first_fit([5, 9, 30], 12) == [True, True, False] and first_fit([50, 57, 58, 300], 58) == [False, False, True, False]
 
 
 def rows():
