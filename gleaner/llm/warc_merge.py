@@ -17,6 +17,8 @@ slices of the runs are k sorted lists, merged by a loser tree: each entry is
 replayed along one path to the root, log2(k) comparisons. The output is sorted
 over partitions and within them.
 
+Capture times come from a column, or without one are made up from the page id.
+
 Edge cases: a null page body is an empty payload; null or odd URLs are kept, with
 control characters percent-encoded in the header; null page ids get no record that
 others refer to; repeated rows are records of their own (of rows with the smallest
@@ -60,7 +62,7 @@ def _header_safe(c: Column) -> Column:
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", time_col: str | None = None, revisit_bytes: int = 100) -> DataFrame:
     """record: the text of each page's WARC record without its terminator."""
-    time = F.unix_timestamp(F.col(time_col)) if time_col else F.coalesce(F.col(id_col), F.lit(0)) + _EPOCH
+    time = F.unix_timestamp(F.col(time_col)) if time_col else F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(1_000_000_000)) + _EPOCH
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("body"), time.alias("time"))
     page = page.withColumns({"digest": F.sha2(F.col("body").cast("binary"), 256), "n": F.octet_length("body")})
     # short payloads find no partner; a key of their own spreads them over the tasks

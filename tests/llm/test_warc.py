@@ -17,7 +17,7 @@ LONG = "<p>" + "x" * 200 + "</p>"
 ROWS = [
     (5, "http://www.Example.com/a?b=1#frag", LONG), (2, "https://example.com/a", LONG), (9, "http://sub.example.com:80/", LONG), (1, "http://b.org/", "short"), (3, "http://b.org/", "short"),
     (4, None, None), (6, "http://b.org/\r\nX: y z%41", "body\r\n\r\nWARC/1.1\r\n\r\n" * 20), (7, "http://é.fr/ü", "ünïcode " * 30), (None, "http://none.org/", LONG), (8, "http://b.org/long", "word " * 400_000), (10, "http://b.org/", ""),
-    (2, "https://example.com/a", LONG),
+    (2, "https://example.com/a", LONG), (2**62, None, "far away"), (-5, "x", None),
 ]
 
 
@@ -29,7 +29,7 @@ def test_round_trip_and_revisits(spark, tmp_path):
         body = next(h for p, u, h in ROWS if (p, u) == (r.page_id, r.url)) or ""
         assert r.payload_bytes == len(body.encode()) and r.payload_digest == hashlib.sha256(body.encode()).hexdigest()
     kinds = sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str)
-    assert kinds == sorted([(1, "response", None), (2, "response", None), (2, "response", None), (3, "response", None), (4, "response", None), (5, "revisit", 2), (6, "response", None), (7, "response", None), (8, "response", None), (9, "revisit", 2), (10, "response", None), (None, "revisit", 2)], key=str)
+    assert kinds == sorted([(1, "response", None), (2, "response", None), (2, "response", None), (3, "response", None), (4, "response", None), (5, "revisit", 2), (6, "response", None), (7, "response", None), (8, "response", None), (9, "revisit", 2), (10, "response", None), (None, "revisit", 2), (2**62, "response", None), (-5, "response", None)], key=str)
     keys = [(r.url_key.encode(), r.capture_time) for r in got]
     assert keys == sorted(keys)
     assert {r.url_key for r in got if r.page_id in (2, 5)} == {"com,example)/a", "com,example)/a?b=1"}
