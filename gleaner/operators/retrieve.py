@@ -55,7 +55,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, small:
 
     Each task scores its corpus rows against the queries by matrix products and keeps k of each, so a query's
     shuffle is k rows a task. Up to ``small`` queries (counted) go with the tasks; more are packed into
-    blocks and meet the corpus bucket by bucket. Null vectors take no part.
+    blocks that meet the corpus's blocks pair by pair. Null vectors take no part.
     """
     queries = queries.where("qid is not null and vec is not null").select("qid", F.col("vec").cast("array<double>").alias("vec"))
     corpus = corpus.where("cid is not null and vec is not null").select("cid", F.col("vec").cast("array<double>").alias("vec"))
@@ -74,21 +74,18 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, small:
 
             hits = corpus.mapInPandas(scan, ids)
     else:
+        # blocks of either side; each pair of blocks is one row, so a task holds a few blocks at a time
         n_c, n_q = corpus.count(), queries.count()
-        b_c, b_q = max(1, n_c // 65536), -(-n_q // _BLOCK)
-        dealt = corpus.withColumn("_b", F.pmod(F.xxhash64("cid"), F.lit(b_c)))
-        packed = queries.groupBy(F.pmod(F.xxhash64("qid"), F.lit(b_q)).alias("_g")).agg(F.collect_list(F.struct("qid", "vec")).alias("own"))
-        asked = packed.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b_c - 1)).cast("array<long>")))
-
-        def meet(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-            if own.empty or others.empty:
-                return pd.DataFrame({"qid": [], "cid": [], "score": []})
-            c, out = _matrix(own["vec"]), []
-            for block in others["own"]:
-                out.append(_best(np.array([o["qid"] for o in block]), _matrix(pd.Series([o["vec"] for o in block])), own["cid"].to_numpy(), c, k, digits))
-            return pd.concat(out, ignore_index=True)
-
-        hits = dealt.groupBy("_b").cogroup(asked.groupBy("_b")).applyInPandas(meet, ids)
+        b_c, b_q = max(1, -(-n_c // (4 * _BLOCK))), -(-n_q // _BLOCK)
+        pack = lambda df, key, n, name: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"_{name}")).agg(F.collect_list(key).alias(f"{name}_ids"), F.collect_list("vec").alias(f"{name}_vecs"))
+        asked = pack(queries, "qid", b_q, "q").withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(b_c - 1)).cast("array<long>")))
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.itertuples(index=False):
+                    yield _best(np.asarray(r.q_ids), _matrix(pd.Series(list(r.q_vecs))), np.asarray(r.c_ids), _matrix(pd.Series(list(r.c_vecs))), k, digits)
+
+        hits = asked.join(pack(corpus, "cid", b_c, "c"), "_c").select("q_ids", "q_vecs", "c_ids", "c_vecs").mapInPandas(meet, ids)
     return rank_by(hits, "score", k)
 
 

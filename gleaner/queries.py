@@ -605,9 +605,10 @@ def nearest_centroid_stream(spark, sf):
     """The grouping as a stream over the same rows, run until it has read them all."""
     import uuid
 
+    from gleaner.sources.shared import shared_dir
     from gleaner.streaming.grouping import group_stream
 
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/gleaner-streams')}/{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/gleaner-stream-{uuid.uuid4().hex}"
     path = f"{sf}/embeddings.parquet"
     schema = spark.read.parquet(path).schema
     e = spark.readStream.schema(schema).parquet(f"{sf}/embeddings.parquet*").select((F.col("vec_id") % 5).alias("profile"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("vec"))

@@ -292,3 +292,20 @@ def test_run_logs(spark):
     assert tuple(runlog.snapshot(empty).first()) == (0, 0, 0) and runlog.same_snapshot(runlog.snapshot(empty), runlog.snapshot(empty))
 
 
+
+
+# --- serving
+
+
+def test_cells_from_nested_json(spark):
+    from gleaner.operators import serving
+
+    text = '{"one": {"x": [{"concurrency": 1, "n": 5}, {"concurrency": 4, "n": 6}], "y": [{"concurrency": 1, "n": 10}]}}'
+    schema = "one map<string, array<struct<concurrency: int, n: int>>>"
+    cells = serving.flatten_cells(spark.createDataFrame([(text,)], "j string").select(F.from_json("j", schema).alias("r")).select("r.*"))
+    assert sorted(map(tuple, cells.collect())) == [("one", "x", 1, 5), ("one", "x", 4, 6), ("one", "y", 1, 10)]
+    ratio = {r.concurrency: r.ratio for r in serving.engine_ratio(cells, "y", "x", "n").collect()}
+    assert ratio == {1: 2.0, 4: None}
+    q = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "engine string, qualified boolean")
+    t = spark.createDataFrame([("a", 2.0), ("b", 2.0), ("c", 9.0)], "engine string, throughput double")
+    assert tuple(serving.select_engine(q, t).first()) == (2.0, "a") and serving.select_engine(q.where("engine = 'c'"), t).count() == 0
