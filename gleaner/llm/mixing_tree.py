@@ -222,3 +222,13 @@ def mix_sources(docs: DataFrame, settings: MixSettings = MixSettings(), id_col:
     # a document of the partly taken block has the last copy only if it was chosen
     copies = F.when(F.col("fill").isNull() | F.coalesce("_in", F.lit(False)), F.col("copies")).otherwise(F.filter("copies", lambda c: c["epoch"] < F.col("_passes")))
     return rows.select(*keep, F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), _hash(F.col("_h"), settings.seed + 1).alias("order")).withColumn("taken", F.col("size") * F.size("copies"))
+
+
+def mixture(mixed: DataFrame, seed: int = MixSettings.seed) -> DataFrame:
+    """The mix itself: a row for each copy, with shard and epoch, dealt by shard and shuffled inside it by a seeded hash.
+
+    mixed: what mix_sources returns. A shard's rows are together and sorted by their place; shards are of bounded size.
+    """
+    each = mixed.withColumn("_copy", F.explode("copies")).drop("copies", "taken")
+    placed = each.withColumns({"shard": F.col("_copy.shard"), "epoch": F.col("_copy.epoch"), "place": _hash(F.col("order"), F.col("_copy.epoch"), seed + 2)})
+    return placed.drop("_copy", "order").repartitionByRange("shard").sortWithinPartitions("shard", "place")

@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
-from gleaner.llm.mixing_tree import MixSettings, first_fit, mix_sources, plan_sources, share_targets, split_quotas
+from gleaner.llm.mixing_tree import MixSettings, first_fit, mix_sources, mixture, plan_sources, share_targets, split_quotas
 
 
 def test_targets_stop_and_reshare():
@@ -61,5 +61,15 @@ def test_mix(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_mixture_is_shuffled_within_shards(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, source string, size int")
+    mixed = mix_sources(docs, MixSettings(block_words=500, shard_words=2000), carry=("source",))
+    out = mixture(mixed).collect()
+    assert len(out) == sum(len(r.copies) for r in mixed.collect())
+    assert [(r.shard, r.place) for r in out] == sorted((r.shard, r.place) for r in out)
+    sources = [r.source for r in out]
+    assert sum(a != b for a, b in zip(sources, sources[1:], strict=False)) > len(out) / 3
+
+
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
