@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import collapse, norm_key, seeded_order, split_ids, strip
+from gleaner.sources.shared import written
 
+# fixed value: the seed that splits and label sheets hash with
+SEED = "threshold-lab"
 # fixed values of the label tables
 GROUPS = ("ANS", "NOFAQ", "OFF", "ATTACK", "BORDER")
 LABELS = ("ANSWER", "NO_ANSWER", "BORDER")
@@ -50,10 +53,10 @@ def first_by_key(df: DataFrame, key: Column, *order: Column) -> DataFrame:
 def number_rows(df: DataFrame, *order: Column, pattern: str = "Q%04d", name: str = "id") -> DataFrame:
     """Sequential ids in the given total order, without one task sorting everything.
 
-    Rows are range-sorted; partition sizes give each partition its first number, and a window within the
-    partition does the rest.
+    Rows are dealt by range and written with their partition's number, as another run might draw other ranges;
+    partition sizes give each partition its first number, and a window within the partition does the rest.
     """
-    sorted_df = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    sorted_df = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     sizes = sorted_df.groupBy("_p").count()
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = sizes.select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
@@ -68,7 +71,7 @@ def merge_questions(parts: list[tuple[str, DataFrame]], text: str = "question",
     return number_rows(kept, *[F.col(c) for c in order])
 
 
-def split_dev_test(labels: DataFrame, seed: str = "threshold-lab", ratio: float = 0.6, strata: tuple[str, ...] = ("intended_group", "final_label"), id_col: str = "id") -> DataFrame:
+def split_dev_test(labels: DataFrame, seed: str = SEED, ratio: float = 0.6, strata: tuple[str, ...] = ("intended_group", "final_label"), id_col: str = "id") -> DataFrame:
     """labels with split: in each stratum the first round(ratio * n) ids by the SHA-1 of 'seed:id' are dev."""
     key = seeded_order(seed, F.col(id_col))
     w = Window.partitionBy(*strata)
@@ -77,7 +80,7 @@ def split_dev_test(labels: DataFrame, seed: str = "threshold-lab", ratio: float
     return labels.withColumn("split", F.when(place <= F.bround(ratio * n), "dev").otherwise("test"))
 
 
-def label_sheet(questions: DataFrame, candidates: DataFrame, answers: DataFrame, seed: str = "threshold-lab", width: int = 10, cut: int = 100) -> DataFrame:
+def label_sheet(questions: DataFrame, candidates: DataFrame, answers: DataFrame, seed: str = SEED, width: int = 10, cut: int = 100) -> DataFrame:
     """One row per question with its candidates in a seeded order as candidate_1..width, '' where there are fewer.
 
     questions: id; candidates: qid, rank, faq_id, faq_question; answers: faq_id, answer.

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOP = 3
-# outcome codes
+# fixed values: outcome codes
 CORRECT, INCOMPLETE, WRONG, NOANS, REFUSE, FALSEPASS = range(6)
 NOT_FOUND = 99
 
@@ -96,6 +96,7 @@ def loss_map(weights: dict) -> list[float]:
     return [float(x) for x in (a["correct"], a["incomplete"], a["wrong_delivery"], a["no_answer"], u["correct_refusal"], u["false_pass"])]
 
 
+# fixed values: the default loss table
 WEIGHTS = {"answerable": {"correct": 0, "incomplete": 2, "wrong_delivery": 5, "no_answer": 1}, "unanswerable": {"correct_refusal": 0, "false_pass": 5}}
 
 

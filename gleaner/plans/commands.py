@@ -39,7 +39,7 @@ def merge_questions(spark: SparkSession, inputs: list[str], out: str) -> DataFra
     return rows
 
 
-def label_sheet(spark: SparkSession, questions: str, data: str, out: str, seed: str = "threshold-lab") -> DataFrame:
+def label_sheet(spark: SparkSession, questions: str, data: str, out: str, seed: str = labels.SEED) -> DataFrame:
     """questions.csv and a folder with candidates.csv and faq_catalog.csv into a sheet to label."""
     q = files.read_text_csv(spark, questions)
     cands = files.read_text_csv(spark, f"{data}/candidates.csv")
@@ -205,7 +205,7 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     add = lambda name, *args: _options(sub.add_parser(name), args)
     add("mergequestions", ("inputs", {"nargs": "+"}), ("--out", {"required": True}))
-    add("labelsheet", ("--questions", {"required": True}), ("--data", {"required": True}), ("--out", {"required": True}), ("--seed", {"default": "threshold-lab"}))
+    add("labelsheet", ("--questions", {"required": True}), ("--data", {"required": True}), ("--out", {"required": True}), ("--seed", {"default": labels.SEED}))
     add("merge", ("--a", {"required": True}), ("--b", {"required": True}), ("--out", {"required": True}))
     add("sentencesheet", ("--labels", {"required": True}), ("--data", {"required": True}), ("--out", {"required": True}))
     common = (("--labels", {"required": True}), ("--data", {"required": True}), ("--out", {"required": True}), ("--sentence-labels", {}), ("--weights", {}), ("--prior", {"type": float, "default": 0.75}), ("--draws", {"type": int, "default": 1000}))

@@ -30,7 +30,7 @@ def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = sql.replace("__SEED__", labels.SEED)
         return f
 
     return add
@@ -272,7 +272,7 @@ def parse_intents(spark, sf):
 # --- two thresholds
 
 _LABELS = """, lb AS (SELECT qid, ql, CASE WHEN ql <= 6 THEN 1 WHEN ql <= 8 THEN 0 ELSE -1 END AS kind, 'G' || (ql % 4) AS grp, CASE WHEN ql <= 6 THEN 'ANSWER' WHEN ql <= 8 THEN 'NO_ANSWER' ELSE 'BORDER' END AS final_label FROM q),
-    sp AS (SELECT *, CASE WHEN row_number() OVER w <= round_even(0.6 * count(*) OVER (PARTITION BY grp, final_label), 0) THEN 'dev' ELSE 'test' END AS split FROM lb WINDOW w AS (PARTITION BY grp, final_label ORDER BY sha1('threshold-lab:' || qid), qid))"""
+    sp AS (SELECT *, CASE WHEN row_number() OVER w <= round_even(0.6 * count(*) OVER (PARTITION BY grp, final_label), 0) THEN 'dev' ELSE 'test' END AS split FROM lb WINDOW w AS (PARTITION BY grp, final_label ORDER BY sha1('__SEED__:' || qid), qid))"""
 _GOLD = """, gold AS (SELECT q.qid, c.cid FROM q JOIN c ON ql = cl AND cid % 3 = (qid // 10) % 3)"""
 _SENT = """, cand AS (SELECT qid, cid, rank, score, qe, ce FROM hits WHERE rank <= 10),
     sent AS (SELECT qid, cid, rank, score, i AS idx, round(list_cosine_similarity(qe[CAST(1 + 16 * i AS BIGINT) : CAST(16 + 16 * i AS BIGINT)], ce[CAST(1 + 16 * i AS BIGINT) : CAST(16 + 16 * i AS BIGINT)]), 6) AS sim, (cid + i) % 3 = 0 AS need FROM cand, range(4) r(i))"""
@@ -305,7 +305,7 @@ def split_dev_test(spark, sf):
 
 
 @query("""WITH lb AS (SELECT doc_id, lang, CAST(quality AS VARCHAR) AS final_label FROM labels JOIN documents USING (doc_id))
-    SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang, final_label ORDER BY sha1('threshold-lab:' || doc_id), doc_id) <= round_even(0.6 * count(*) OVER (PARTITION BY lang, final_label), 0) THEN 'dev' ELSE 'test' END AS split FROM lb""")
+    SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang, final_label ORDER BY sha1('__SEED__:' || doc_id), doc_id) <= round_even(0.6 * count(*) OVER (PARTITION BY lang, final_label), 0) THEN 'dev' ELSE 'test' END AS split FROM lb""")
 def split_documents(spark, sf):
     d = lab.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("final_label")).join(lab.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     return labels.split_dev_test(d, strata=("lang", "final_label"), id_col="doc_id").select("doc_id", "split")
@@ -441,7 +441,7 @@ def label_merge(spark, sf):
     return labels.merge_labels(a, b)
 
 
-@query(f"""WITH {_HITS}, k AS (SELECT qid, cid, '[' || cid || '] v' || cid || ' | ' || substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 100) AS shown, row_number() OVER (PARTITION BY qid ORDER BY sha1('threshold-lab:' || qid || ':' || cid), cid) AS spot FROM hits LEFT JOIN documents ON doc_id = cid WHERE rank <= 4)
+@query(f"""WITH {_HITS}, k AS (SELECT qid, cid, '[' || cid || '] v' || cid || ' | ' || substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 100) AS shown, row_number() OVER (PARTITION BY qid ORDER BY sha1('__SEED__:' || qid || ':' || cid), cid) AS spot FROM hits LEFT JOIN documents ON doc_id = cid WHERE rank <= 4)
     SELECT qid AS id, """ + ", ".join(f"coalesce(max(shown) FILTER (spot = {k}), '') AS candidate_{k}" for k in range(1, 6)) + " FROM k GROUP BY qid")
 def label_sheet(spark, sf):
     q, c = lab.queries_and_corpus(spark, sf)
