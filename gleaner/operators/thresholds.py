@@ -13,8 +13,6 @@ distinct step patterns, and then weighs them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -255,40 +253,51 @@ def interval(boot: DataFrame, column: str = "mean") -> DataFrame:
     return boot.agg(F.percentile(column, F.array(F.lit(0.05), F.lit(0.9), F.lit(0.95))).alias("p")).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("hi"))
 
 
-def loss_intervals(dataset: DataFrame, cells: DataFrame, weights: dict = WEIGHTS, prior: float = 0.75, draws: int = 1000, seed: int = 20261019) -> DataFrame:
+def loss_intervals(dataset: DataFrame, cells: DataFrame, weights: dict = WEIGHTS, prior: float = 0.75, draws: int = 1000, seed: int = 20261019, block: int = 8192) -> DataFrame:
     """t1, t2, loss_lo, loss_p90, loss_hi, fp_lo, fp_hi from multinomial resamples of the questions of either class.
 
-    The draws of a class are one count matrix, made from the seed alike in every task and multiplied with the
-    outcomes of a block of cells; resampled rows are never made. A cell's block of outcomes is one number a question.
+    Questions are dealt in blocks of about ``block``. How many of a resample's picks fall in each block is one multinomial
+    draw on the driver (draws x blocks); which questions of the block they are is another in the block's task. The
+    block's counts are multiplied with its outcomes in all cells, and the blocks' sums are added up for each cell.
+    Resampled rows are never made, and a cell never gathers its questions.
     """
-    judged = outcomes(dataset, cells).where("kind <> -1")
-    values = np.array(loss_map(weights))
-    # questions in id order on both sides of the product
-    table = judged.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("kind", "qid", "cat"))).alias("own"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made: dict[tuple[int, int], np.ndarray] = {}
-
-        def counts(n: int, stream: int) -> np.ndarray:
-            if (n, stream) not in made:
-                made[n, stream] = np.random.default_rng([seed, stream]).multinomial(n, np.full(n, 1 / n), size=draws).astype(np.float32)
-            return made[n, stream]
-
-        for batch in batches:
-            rows = []
-            for t1, t2, own in zip(batch["t1"], batch["t2"], batch["own"], strict=True):
-                kind, cat = np.array([o["kind"] for o in own]), np.array([o["cat"] for o in own])
-                a, u = cat[kind == 1], cat[kind == 0]
-                if not len(a) or not len(u):
-                    continue
-                la = counts(len(a), 0) @ values[a].astype(np.float32) / len(a)
-                lu = counts(len(u), 1) @ values[u].astype(np.float32) / len(u)
-                fp = counts(len(u), 2) @ (u == FALSEPASS).astype(np.float32) / len(u)
-                loss = prior * la + (1 - prior) * lu
-                rows.append((t1, t2, *map(float, np.percentile(loss, [5, 90, 95])), *map(float, np.percentile(fp, [5, 95]))))
-            yield pd.DataFrame(rows, columns=["t1", "t2", "loss_lo", "loss_p90", "loss_hi", "fp_lo", "fp_hi"])
-
-    return table.mapInPandas(run, "t1 double, t2 double, loss_lo double, loss_p90 double, loss_hi double, fp_lo double, fp_hi double")
+    values = np.array(loss_map(weights), np.float32)
+    questions = dataset.where("kind <> -1 and rank = 1")
+    blocks = max(1, -(-questions.count() // block))
+    number = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
+    sizes = {(r[0], r[1]): r[2] for r in questions.groupBy("kind", number.alias("b")).count().collect()}
+    totals = {kind: sum(n for (k, _), n in sizes.items() if k == kind) for kind in (0, 1)}
+    picks = {}
+    for stream, kind in ((0, 1), (1, 0), (2, 0)):  # losses of answerable and unanswerable questions, false passes
+        if totals[kind]:
+            share = np.array([sizes.get((kind, b), 0) / totals[kind] for b in range(blocks)])
+            picks[stream] = np.random.default_rng([seed, stream]).multinomial(totals[kind], share, size=draws)
+    judged = outcomes(dataset, cells).where("kind <> -1").withColumn("b", number)
+
+    def part(own: pd.DataFrame) -> pd.DataFrame:
+        b = int(own["b"].iloc[0])
+        wide = own.pivot_table(index=["kind", "qid"], columns=["t1", "t2"], values="cat", sort=True)
+        kinds, at, out = wide.index.get_level_values(0), wide.to_numpy().astype(np.int64), []
+        sums = {s: np.zeros((draws, at.shape[1]), np.float32) for s in (0, 1, 2)}
+        for stream, kind, what in ((0, 1, values), (1, 0, values), (2, 0, np.eye(6, dtype=np.float32)[FALSEPASS])):
+            rows = at[kinds == kind]
+            if len(rows):
+                counts = np.random.default_rng([seed, stream, b]).multinomial(picks[stream][:, b], np.full(len(rows), 1 / len(rows)))
+                sums[stream] = counts.astype(np.float32) @ what[rows]
+        for c, (t1, t2) in enumerate(wide.columns):
+            out.append((t1, t2, sums[0][:, c].tolist(), sums[1][:, c].tolist(), sums[2][:, c].tolist()))
+        return pd.DataFrame(out, columns=["t1", "t2", "a", "u", "f"])
+
+    def whole(own: pd.DataFrame) -> pd.DataFrame:
+        add = lambda c, n: np.sum([np.asarray(x) for x in own[c]], axis=0) / n
+        if not totals[0] or not totals[1]:
+            return pd.DataFrame(columns=names)
+        loss, fp = prior * add("a", totals[1]) + (1 - prior) * add("u", totals[0]), add("f", totals[0])
+        return pd.DataFrame([(own["t1"].iloc[0], own["t2"].iloc[0], *map(float, np.percentile(loss, [5, 90, 95])), *map(float, np.percentile(fp, [5, 95])))], columns=names)
+
+    names = ["t1", "t2", "loss_lo", "loss_p90", "loss_hi", "fp_lo", "fp_hi"]
+    parts = judged.select("b", "kind", "qid", "t1", "t2", "cat").groupBy("b").applyInPandas(part, "t1 double, t2 double, a array<float>, u array<float>, f array<float>")
+    return parts.groupBy("t1", "t2").applyInPandas(whole, ", ".join(f"{n} double" for n in names))
 
 
 def final_scores(dataset: DataFrame, pairs: DataFrame, weights: dict = WEIGHTS, prior: float = 0.75, most: int = 4, draws: int = 1000) -> DataFrame:

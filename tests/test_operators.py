@@ -170,6 +170,8 @@ def test_intervals_hold_the_mean(spark):
     r = thresholds.loss_intervals(ds, cells, draws=500).first()
     mean = thresholds.grid_loss(ds, cells.select("t1"), cells.select("t2")).first()
     assert r.loss_lo < mean.loss < r.loss_hi and r.loss_lo < r.loss_p90 < r.loss_hi and r.fp_lo <= mean.false_pass <= r.fp_hi
+    few = thresholds.loss_intervals(ds, cells, draws=500, block=10).first()  # many blocks, the same spread
+    assert abs(few.loss_lo - r.loss_lo) < 0.15 and abs(few.loss_hi - r.loss_hi) < 0.15
     boot = thresholds.interval(thresholds.hash_bootstrap(spark.range(500).select(F.col("id").alias("qid"), (F.col("id") % 2).cast("double").alias("v")), "v", 200)).first()
     assert 0.42 < boot.lo < 0.5 < boot.hi < 0.58
     with pytest.raises(ValueError, match="needed"):
