@@ -14,7 +14,7 @@ partition, and the thresholds may be unequal; t_i = -1 leaves a partition out.
   partition unselective.
 - m and the t_i come from a dynamic programme over the partitions that minimises
   estimated candidate pairs and index entries. The estimate comes from the bits'
-  second moments over all distinct fingerprints.
+  second moments over all distinct fingerprints, weighed for a table of fixed size.
 - Two values agree up to t bits if they have a masked form in common (t of the
   bits left out), so each fingerprint has C(width, t) entries in an index and the
   probes of an entry are the other fingerprints in its bucket. Every candidate is
@@ -171,9 +171,14 @@ def agree_share(n: int, both: np.ndarray, bits: list[int], most: int) -> np.ndar
     return np.cumsum(dist)
 
 
-def allocate(n: int, both: np.ndarray, limit: int, entry_cost: float = 50.0) -> list[Partition]:
-    """Partitions and thresholds with the least estimated cost: candidate pairs, and index entries at entry_cost each."""
+def allocate(n: int, both: np.ndarray, limit: int, entry_cost: float = 50.0, scale: int = 1_000_000) -> list[Partition]:
+    """Partitions and thresholds with the least estimated cost: candidate pairs, and index entries at entry_cost each.
+
+    The shares of pairs that agree come from the n fingerprints at hand; the costs are weighed for a table of
+    ``scale`` fingerprints, so that tables of any size get the same number of index entries a fingerprint.
+    """
     best: tuple[float, list[Partition]] | None = None
+    both, n = (both * (scale / n), scale) if n else (both, scale)
     for m in range(1, limit + 2):
         groups = group_bits(n, both, m)
         units = limit + 1
@@ -184,7 +189,7 @@ def allocate(n: int, both: np.ndarray, limit: int, entry_cost: float = 50.0) ->
             pairs = n * max(n - 1, 0) / 2 * agree_share(n, both, bits, min(limit, len(bits)))
             for u in range(units + 1):
                 for t in range(min(u, len(pairs)) + 1):
-                    c = cost[i, u - t] + (0 if t == 0 else pairs[t - 1] + entry_cost * max(n, 1) * comb(len(bits), t - 1))
+                    c = cost[i, u - t] + (0 if t == 0 else pairs[t - 1] + entry_cost * n * comb(len(bits), t - 1))
                     if c < cost[i + 1, u]:
                         cost[i + 1, u], pick[i + 1, u] = c, t
         if best is None or cost[m, units] < best[0]:
