@@ -22,6 +22,9 @@ x sources) are on the driver. The running sums over a source's blocks are taken
 two levels of at most ``_RUN`` expected blocks, so a hot source's blocks don't meet
 in one task.
 
+The blocks' shares are joined to the documents without moving them while the blocks are few
+enough to be broadcast, which is counted; beyond that the join shuffles.
+
 Edge cases: a null text has size 0 and is taken 0 times in words; a null source is
 a source of its own, after the others; repeated rows share a block and are taken
 alike; sources without a word have target 0; an empty table gives an empty result;
@@ -43,6 +46,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import WORD, materialise
 
 _RUN = 1024
+#: Tables of at most so many rows (blocks, chosen documents, sources; some 100 bytes each) are broadcast; larger ones shuffle.
+_BROADCAST_ROWS = 200_000
 COPIES = "array<struct<epoch:int,shard:int>>"
 
 
@@ -118,7 +123,11 @@ def _numbered(docs: DataFrame, sources: list[Source]) -> DataFrame:
     spark = docs.sparkSession
     rows = [(k, s.name, s.blocks) for k, s in enumerate(sources)]
     named = spark.createDataFrame(rows, "_s int, _name string, _blocks long")
-    return docs.join(named, docs["_source"].eqNullSafe(named["_name"])).drop("_name")
+    return docs.join(_small(named, len(rows)), docs["_source"].eqNullSafe(named["_name"])).drop("_name")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= _BROADCAST_ROWS else df
 
 
 def _hash(*cols: Column | int) -> Column:
@@ -217,8 +226,9 @@ def mix_sources(docs: DataFrame, settings: MixSettings = MixSettings(), id_col:
     stats = placed.groupBy("_s", "_block", "_blocks").agg(F.sum("_size").alias("words")).withColumn("_p", p).withColumn("_run", F.shiftrightunsigned("_p", 33) * runs / F.lit(1 << 31)).withColumn("_run", F.floor("_run"))
     dealt = materialise(_block_copies(stats.select("_s", "_block", "_run", "_p", "words"), sources, settings), "copies")
     chosen = materialise(_filled(placed.join(dealt.where("fill is not null").select("_s", "_block", "fill"), ["_s", "_block"])), "filled").withColumn("_in", F.lit(True))
+    n_chosen, n_blocks = chosen.count(), sum(s.blocks for s in sources)
     facts = docs.sparkSession.createDataFrame([(k, s.words, s.target, s.passes) for k, s in enumerate(sources)], "_s int, source_size long, target double, _passes int")
-    rows = _numbered(base, sources).withColumn("_block", block).join(dealt, ["_s", "_block"]).join(facts, "_s").join(chosen, ["_s", "_h"], "left")
+    rows = _numbered(base, sources).withColumn("_block", block).join(_small(dealt, n_blocks), ["_s", "_block"]).join(_small(facts, len(sources)), "_s").join(_small(chosen, n_chosen), ["_s", "_h"], "left")
     # a document of the partly taken block has the last copy only if it was chosen
     copies = F.when(F.col("fill").isNull() | F.coalesce("_in", F.lit(False)), F.col("copies")).otherwise(F.filter("copies", lambda c: c["epoch"] < F.col("_passes")))
     return rows.select(*keep, F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), _hash(F.col("_h"), settings.seed + 1).alias("order")).withColumn("taken", F.col("size") * F.size("copies"))
