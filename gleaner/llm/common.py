@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources.shared import shared_dir
+
 #: A word is a run of anything but the six ASCII white-space characters (Java regex).
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Scratch folders handed out per application, so that release() can drop them.
 _scratch: dict[str, list[str]] = {}
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset, and driver and executors are one process (tests), a temporary folder is made.
-    """
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    _own_dir = _own_dir or tempfile.mkdtemp(prefix="gleaner-")
-    return _own_dir
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -76,3 +63,11 @@ def hash_share(id_col: Column, share: float, seed: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def trim_memory() -> None:
+    """Give memory that this Python worker has freed back to the system: workers outlive stages, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -31,12 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialise
+from gleaner.llm.common import materialise, trim_memory
 
 #: Vector width, projected dimensions, bits of each on the curve.
 WIDTH, DIMS, ORDER = 1024, 4, 15
 #: Words kept in a worker's memo (about 100 MB with its table); words beyond it are encoded batch by batch.
-_MEMO = 300_000
+_MEMO = 250_000
 #: Documents and characters tokenised at a time.
 _DOCS, _CHARS = 1024, 3_000_000
 #: Texts of these characters only are in normal form and change case one by one, so that their
@@ -112,13 +112,16 @@ _tokenizers: dict[str, WordTokenizer] = {}
 def worker_tokenizer(path: str) -> WordTokenizer:
     """One per Python worker, so that its memo lasts over tasks."""
     if path not in _tokenizers:
+        trim_memory()
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
 def _forget() -> None:
     """Later stages run in the same workers and need the memory."""
-    _tokenizers.clear()
+    if _tokenizers:
+        _tokenizers.clear()
+        trim_memory()
 
 
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
