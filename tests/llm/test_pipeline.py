@@ -68,3 +68,8 @@ def test_run_and_empty(spark, tmp_path):
     empty = tmp_path / "none"
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{empty}/documents.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_without_languages_none_is_rejected(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9), (2, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.language_id(spark, docs, str(tmp_path)).count() == 2
