@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next stage's docs. Stages work on all that is left,
 keep the columns of documents (whatever their names) and, but for the last, return
 just those. No stage reads another table.
+
+Edge cases: null and empty texts are rejected by the first stage; documents without a
+language are judged but not learned from, and where none has one, no text is
+rejected for its language; a null source is a source of its own; null ids are the last
+choice among copies; repeated rows are copies; an empty table passes every stage empty;
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -47,6 +53,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts in no language that the filters know."""
     plain, own = _renamed(docs)
     filters = fit_language_filters(plain, lang_col=own["lang"], text_col=own["text"], id_col=own["doc_id"])
+    if not filters.languages:
+        return docs
     named = identify_language(plain, filters, id_col=own["doc_id"], text_col=own["text"], carry=tuple(own.values()))
     return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*own.values()).toDF(*own)
 
