@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.vectors import sparse_dot
-
 #: So many query vectors travel with the tasks; more are dealt in blocks.
 SMALL_QUERIES = 4096
 _BLOCK = 1024
@@ -158,9 +156,19 @@ def sparse_pairs(queries: DataFrame, corpus: DataFrame, digits: int = 6) -> Data
     return q.join(c, "term").groupBy("qid", "cid").agg(F.round(F.sum(F.col("wq") * F.col("wc")), digits).alias("score"))
 
 
-def hybrid(hits: DataFrame, dense: Column, sparse_q: Column, sparse_d: Column, alpha: float = 0.6, digits: int = 6) -> DataFrame:
+def lexical_overlap(hits: DataFrame, q_tokens: DataFrame, c_tokens: DataFrame, name: str = "lexical") -> DataFrame:
+    """hits with the sum over shared terms of the product of weights, 0 without one. Tokens: (qid | cid), term, weight.
+
+    Equi-joins on (id, term): only the terms of texts that are hit meet, and sums combine before the shuffle.
+    """
+    q, c = q_tokens.select("qid", "term", F.col("weight").alias("_wq")), c_tokens.select("cid", "term", F.col("weight").alias("_wc"))
+    shared = hits.select("qid", "cid").join(q, "qid").join(c, ["cid", "term"]).groupBy("qid", "cid").agg(F.sum(F.col("_wq") * F.col("_wc")).alias(name))
+    return hits.join(shared, ["qid", "cid"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
+def hybrid(hits: DataFrame, dense: Column, lexical: Column, alpha: float = 0.6, digits: int = 6) -> DataFrame:
     """Re-rank prefiltered hits by alpha * dense + (1 - alpha) * lexical overlap; equal scores keep the old order."""
-    mixed = hits.withColumn("_old", F.col("rank")).withColumn("score", F.round(alpha * dense + (1 - alpha) * sparse_dot(sparse_q, sparse_d), digits))
+    mixed = hits.withColumn("_old", F.col("rank")).withColumn("score", F.round(alpha * dense + (1 - alpha) * lexical, digits))
     return rank_by(mixed.drop("rank"), "score", tie="_old").drop("_old")
 
 

@@ -98,10 +98,9 @@ def sparse_overlap(spark, sf):
     SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS INTEGER) AS rank, cid, score FROM m""")
 def hybrid_rank(spark, sf):
     hits = retrieve.top_k(*lab.queries_and_corpus(spark, sf), 20)
-    maps = tx.weight_maps(tx.token_table(lab.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
-    joined = hits.join(maps.select(F.col("doc_id").alias("qid"), F.col("weights").alias("wq")), "qid", "left").join(maps.select(F.col("doc_id").alias("cid"), F.col("weights").alias("wc")), "cid", "left")
-    empty = F.create_map().cast("map<string,double>")
-    return retrieve.hybrid(joined, F.col("score"), F.coalesce("wq", empty), F.coalesce("wc", empty)).select("qid", "rank", "cid", "score")
+    tokens = tx.token_table(lab.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    mixed = retrieve.lexical_overlap(hits, tokens.withColumnRenamed("doc_id", "qid"), tokens.withColumnRenamed("doc_id", "cid"))
+    return retrieve.hybrid(mixed, F.col("score"), F.col("lexical")).select("qid", "rank", "cid", "score")
 
 
 _LATE_HITS = _HITS + f""", p AS (SELECT * FROM hits WHERE rank <= 20),

@@ -82,6 +82,16 @@ def test_rerank_and_variants(spark):
     assert [r.cid for r in retrieve.best_variant(hits, "g", 2).orderBy("rank").collect()] == [10, 12]
 
 
+def test_hybrid_and_sparse(spark):
+    hits = spark.createDataFrame([(1, 1, 10, 0.9), (1, 2, 11, 0.8), (1, 3, 12, 0.1)], "qid int, rank int, cid int, score double")
+    q = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5)], "qid int, term string, weight double")
+    c = spark.createDataFrame([(11, "a", 1.0), (12, "z", 1.0)], "cid int, term string, weight double")
+    got = retrieve.hybrid(retrieve.lexical_overlap(hits, q, c), F.col("score"), F.col("lexical")).orderBy("rank").collect()
+    assert [(r.cid, r.score) for r in got] == [(11, 0.68), (10, 0.54), (12, 0.06)]
+    m = spark.createDataFrame([({"a": 0.5, "b": 1.0}, {"b": 2.0, "c": 1.0})], "q map<string,double>, d map<string,double>")
+    assert m.select(vx.sparse_dot(F.col("q"), F.col("d"))).first()[0] == 2.0
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(9, 1, False), (2, None, True), (2, 2, True), (None, None, True), (2, 9, True)], "g int, b int, has boolean")
     assert [r[0] for r in df.select(rankmetrics.hard_negative_pass(F.col("g"), F.col("b"), F.col("has"))).collect()] == [True, True, False, False, True]
