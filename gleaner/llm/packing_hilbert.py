@@ -35,8 +35,8 @@ from gleaner.llm.common import materialise, trim_memory
 
 #: Vector width, projected dimensions, bits of each on the curve.
 WIDTH, DIMS, ORDER = 1024, 4, 15
-#: Words kept in a worker's memo (about 100 MB with its table); words beyond it are encoded batch by batch.
-_MEMO = 250_000
+#: Words kept in a worker's memo (about 200 MB with its table); words beyond it are encoded batch by batch.
+_MEMO = 600_000
 #: Documents and characters tokenised at a time.
 _DOCS, _CHARS = 1024, 3_000_000
 #: Texts of these characters only are in normal form and change case one by one, so that their
