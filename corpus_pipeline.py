@@ -15,25 +15,23 @@ columns may have any names.
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import delete_path, release, scratch_path
+from gleaner.llm.jaccard_links import keep_one_similar
 from gleaner.llm.language_filters import UNKNOWN, fit_language_filters, identify_language
 from gleaner.llm.mixing_tree import mix_sources
 from gleaner.llm.packing_hilbert import pack_along_curve
 from gleaner.llm.quality_repeats import repeat_quality
 from gleaner.llm.queries import tokenizer_path
-from gleaner.llm.simhash_gph import Linking, keep_one
 
 #: A text is rejected if the best language holds less than this share of its n-grams.
 LEAST_LANGUAGE_SHARE = 0.5
-#: Near-duplicates: 3-word SimHashes within 3 of 64 bits; or within 8, if they and a second SimHash differ in at most 16 of
-#: 128 bits, which is where edited texts have a five-word Jaccard similarity of about 0.8.
-NEAR = Linking(limit=8, total=16, sure=3)
-#: So many fingerprints of one bucket are compared by one task before the bucket is dealt again.
-NEAR_HEAVY = 16_000
+#: Near-duplicates: texts whose sets of five-word shingles have at least this Jaccard similarity.
+NEAR = Fraction(4, 5)
 
 
 def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -60,8 +58,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of SimHash links."""
-    return keep_one(docs, shingle=3, rule=NEAR, heavy=NEAR_HEAVY)
+    """Keeps one document of each component of links by similarity."""
+    return keep_one_similar(docs, shingle=5, share=NEAR)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

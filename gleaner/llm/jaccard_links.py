@@ -1,0 +1,193 @@
+"""Near-duplicates by an exact similarity join on word shingles.
+
+Two texts are linked if the Jaccard similarity of their sets of five-word shingles is
+at least ``SHARE``, and links make components. No pair is lost to chance:
+
+- All shingles stand in one global order. A set of n shingles that is similar enough
+  to any other shares one of its first n - ceil(SHARE n) + 1 shingles with it (prefix
+  filter), so those alone are indexed.
+- In the order, shingles that a bounded sample shows in several texts come last, by
+  how often; the rest are ordered by hash. The order decides only how selective the
+  index is, never what is found.
+- A shared shingle makes a candidate only if sizes and positions leave room for the
+  overlap that is needed, and if bitmaps of the sets (a bit is set if an odd number of
+  shingles falls on it) differ in no more bits than the sets may differ in shingles.
+  Candidates are verified on the whole sets.
+
+Scale. Copies fold into one node first. Buckets are first tested as stars around one
+member; pairs that links have connected by then need no test, and stars are repeated
+round other members while buckets are heavy and many links come up. All other pairs
+of every bucket are tested in the end.
+
+Edge cases: null and empty texts have the empty set and are alike; texts of fewer words
+than a shingle are one shingle; case and white space make no difference.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from gleaner.llm.common import hash_share, materialise, trim_memory
+from gleaner.llm.components import connected_components
+from gleaner.llm.simhash_gph import _shingle_hashes, keep_least
+
+SHARE = Fraction(4, 5)
+#: Texts that the order of shingles is learned from, and shingles it sorts last at most.
+SAMPLE, COMMON = 10_000, 100_000
+#: Candidate pairs an index entry, up to which the buckets' pairs are tested at once.
+LIGHT = 4
+#: Nodes that are broadcast to pick their texts, so that the texts aren't shuffled; beyond it they are.
+PICKED = 2_000_000
+#: Longs of a bitmap.
+MAP = 4
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The sorted hashes of a text's shingles, each once."""
+    return np.unique(_shingle_hashes(text, shingle, 42))
+
+
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """MAP longs in which a bit is set if an odd number of shingles falls on it."""
+    odd = np.bincount((own % np.uint64(64 * MAP)).astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, share: Fraction = SHARE) -> bool:
+    """Whether the Jaccard similarity of two sets is at least share; two empty sets are alike."""
+    both = np.sort(np.concatenate([a, b]))
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common * share.denominator >= share.numerator * (len(both) - common)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray, share: Fraction = SHARE) -> np.ndarray:
+    """The shingles of a set to index, in the global order. common: sorted; ranks: its shingles' places from 1."""
+    n = len(own)
+    if not n:
+        return np.zeros(1, np.uint64)
+    size = n + 1 + (-n * share.numerator // share.denominator)
+    if not len(common):
+        return own[:size]
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    place = np.where(common[at] == own, ranks[at], 0)
+    return own[np.argsort(place, kind="stable")[:size]]
+
+
+def _common(keyed: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted common shingles of a sample of texts, and their places from 1, rarer ones first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t if isinstance(t, str) else None, shingle) for t in batch[text]]
+            keys, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pd.DataFrame({"s": keys.view(np.int64), "n": n})
+
+    sampled = keyed.where(hash_share(F.col("_h"), min(1.0, SAMPLE / max(1, keyed.count())), 5))
+    counted = sampled.select(text).mapInPandas(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    top = counted.where("n >= 3").orderBy(F.desc("n"), "s").limit(COMMON).toPandas()
+    own = top["s"].to_numpy(np.int64).view(np.uint64)
+    ranks = np.arange(len(own), 0, -1)
+    order = np.argsort(own)
+    return own[order], ranks[order]
+
+
+def _room(share: Fraction, n: Column, p: Column, n2: Column, p2: Column) -> Column:
+    """Whether sets of n and n2 shingles that share those at places p and p2, and none before, can be similar enough."""
+    need = (n + n2) * share.numerator
+    most = F.least(n - p, n2 - p2) * (share.numerator + share.denominator)
+    return (most >= need) | ((n == 0) & (n2 == 0))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, share: Fraction) -> DataFrame:
+    """The u, v of pairs whose texts are similar. texts: node, text."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                some = batch.iloc[k : k + 500]
+                yield pd.DataFrame({"node": some["node"], "own": [shingle_set(t if isinstance(t, str) else None, shingle).tobytes() for t in some["text"]]})
+        trim_memory()
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            holds = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), share) for a, b in zip(batch["a"], batch["b"], strict=True)]
+            yield batch.loc[np.array(holds, bool), ["u", "v"]]
+        trim_memory()
+
+    nodes = materialise(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
+    own = materialise(texts.join(F.broadcast(nodes) if nodes.count() <= PICKED else nodes, "node", "left_semi").dropDuplicates(["node"]).mapInPandas(sets, "node long, own binary"), "sets")
+    first = pairs.join(own.select(F.col("node").alias("u"), F.col("own").alias("a")), "u")
+    both = first.join(own.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+    return materialise(both.select("u", "v", "a", "b").mapInPandas(test, "u long, v long"), "links")
+
+
+def similar_roots(sets: DataFrame, texts: DataFrame, shingle: int = 5, share: Fraction = SHARE) -> DataFrame:
+    """node, root of all linked nodes. sets: node, n, map and prefix, each node once; texts: node, text."""
+    maps = materialise(sets.select("node", "n", *[F.col("map")[k].alias(f"m{k}") for k in range(MAP)]), "maps")
+    side = lambda c: maps.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in maps.columns if x != "node"])
+    apart = sum(F.bit_count(F.col(f"u_m{k}").bitwiseXOR(F.col(f"v_m{k}"))) for k in range(MAP))
+    may_be = apart * (share.numerator + share.denominator) <= (F.col("u_n") + F.col("v_n")) * (share.denominator - share.numerator)
+    entries = sets.select("node", "n", F.posexplode("prefix").alias("p", "token"))
+    w = Window.partitionBy("token").orderBy("node")
+    shared = entries.withColumn("_first", F.first("node").over(w)).withColumn("_next", F.lead("node").over(w))
+    shared = materialise(shared.where((F.col("_first") != F.col("node")) | F.col("_next").isNotNull()).select("token", "node", "n", "p"), "shared")
+    rest, links, roots, turn = shared.withColumn("root", F.col("node")), None, None, 0
+    while True:
+        sizes = rest.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+        open_ = materialise(rest.join(sizes.select("token", "c"), "token"), "open")
+        rows, load, nodes = open_.agg(F.count(F.lit(1)), F.sum((F.col("c") - 1) / 2), F.countDistinct("node")).first()
+        if not rows:
+            break
+        last = turn > 0 and (load <= LIGHT * rows or grown * 20 < nodes)  # noqa: F821
+        if last:
+            other = open_.select("token", *[F.col(c).alias(c + "2") for c in ("node", "n", "p", "root")])
+            met = open_.join(other, "token").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")))
+        else:
+            hub = F.min_by(F.struct("node", "n", "p", "root"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+            hubs = open_.groupBy("token").agg(hub.alias("h")).select("token", *[F.col(f"h.{c}").alias(c + "2") for c in ("node", "n", "p", "root")])
+            met = open_.join(hubs, "token").where(F.col("root") != F.col("root2"))
+        fits = met.where(_room(share, F.col("n"), F.col("p"), F.col("n2"), F.col("p2")))
+        near = fits.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+        pairs = materialise(near.join(side("u"), "u").join(side("v"), "v").where(may_be).select("u", "v"), "pairs")
+        found = _verified(pairs, texts, shingle, share)
+        grown, turn = found.count(), turn + 1
+        if grown or links is None:
+            links = found if links is None else links.unionByName(found)
+            roots = materialise(connected_components(links), "roots")
+        if last:
+            break
+        rest = open_.drop("c", "root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return roots if roots is not None else shared.select("node", F.col("node").alias("root")).limit(0)
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5, share: Fraction = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one row of each component: that with the smallest id (nulls last).
+
+    Rows that repeat id and text are copies like any others. Column names of docs are free.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{k}" for k in range(len(names))])
+    own_id, own_text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
+    keyed = plain.withColumn("_h", F.xxhash64(own_text, F.lit(2)))
+    common, ranks = _common(keyed, own_text, shingle)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = []
+            for t in batch[own_text]:
+                s = shingle_set(t if isinstance(t, str) else None, shingle)
+                got.append((len(s), bitmap(s), prefix(s, common, ranks, share).view(np.int64).copy()))
+            yield pd.DataFrame({"id": batch[own_id], "_h": batch["_h"], "n": [g[0] for g in got], "map": [g[1] for g in got], "prefix": [g[2] for g in got]})
+        trim_memory()
+
+    kind = keyed.schema[own_id].dataType.simpleString()
+    made = materialise(keyed.select(own_id, "_h", own_text).mapInPandas(run, f"id {kind}, _h long, n long, map array<long>, prefix array<long>"), "keys")
+    keys = made.select("id", "_h", F.col("_h").alias("node"))
+    roots = similar_roots(made.select(F.col("_h").alias("node"), "n", "map", "prefix").dropDuplicates(["node"]), keyed.select(F.col("_h").alias("node"), F.col(own_text).alias("text")), shingle, share)
+    return keep_least(keyed, keys, roots, own_id).toDF(*names)

@@ -377,10 +377,15 @@ def keep_one(docs: DataFrame, shingle: int = 3, rule: Linking = Linking(), heavy
     seconds = [F.min("fp2").alias("fp2")] if rule.total is not None else []
     first = materialise(keys.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), *seconds), "distinct")
     roots = materialise(connected_components(near_links(first, rule, heavy)), "roots")
-    rooted = keys.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return keep_least(keyed, keys.withColumnRenamed("fp", "node"), roots, own_id).toDF(*names)
+
+
+def keep_least(keyed: DataFrame, keys: DataFrame, roots: DataFrame, own_id: str) -> DataFrame:
+    """The row of keyed with the smallest id of each component. keyed: own_id, _h; keys: their id, _h, node; roots: node, root."""
+    rooted = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_h")).alias("best"))
     kept = materialise(best.select(F.col("best.id").alias("_id"), F.col("best._h").alias("_kh")), "kept")
     left = keyed.join(kept, keyed[own_id].eqNullSafe(kept["_id"]) & (keyed["_h"] == kept["_kh"]), "left_semi")
     if not keys.groupBy("id", "_h").count().where("count > 1").isEmpty():
         left = left.dropDuplicates([own_id, "_h"])
-    return left.drop("_h").toDF(*names)
+    return left.drop("_h")

@@ -1,0 +1,63 @@
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+pytest.importorskip("public_tokenizers")
+from gleaner.llm import jaccard_links as jl  # noqa: E402
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for k in rng.sample(range(len(out)), edits):
+        out[k] = f"edit{rng.randrange(10**9)}"
+    return out
+
+
+def texts():
+    rng, rows = random.Random(8), []
+    for g in range(40):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(40, 300))]
+        tail = ["one", "line", "that", "ends", "every", "text", "of", "all"] if g % 2 else []
+        rows.append(base + tail)
+        rows += [edited(rng, base, rng.randrange(1, 1 + len(base) // 25)) + tail for _ in range(6)]
+    rows += [["two", "words"], ["Two", "words"], ["other"], [], []]
+    return [(k, " ".join(r) or (None if k % 2 else "")) for k, r in enumerate(rows)]
+
+
+def test_components_against_all_pairs(spark, monkeypatch):
+    rows = texts()
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    seen = set()
+    for a in range(len(rows)):
+        for b in range(a):
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if both * 5 >= either * 4:
+                seen.add(round(both / either, 1) if either else 1.0)
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    assert {0.8, 0.9, 1.0} <= seen
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = sorted(set(root))
+    for light in (4, 0):
+        monkeypatch.setattr(jl, "LIGHT", light)
+        assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == expected
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(1)
+    for n in (1, 4, 5, 6, 47, 300):
+        own = np.unique(rng.integers(1, 1 << 60, n).astype(np.uint64))
+        common = np.sort(rng.choice(own, len(own) // 2, replace=False))
+        ranks = rng.permutation(len(common)) + 1
+        other = np.sort(rng.permutation(own)[: -(-len(own) * 4 // 5)])
+        assert jl.similar(own, other) and not jl.similar(own, other[: len(own) * 4 // 5 - 1] if n > 5 else other[:0])
+        assert set(jl.prefix(own, common, ranks).tolist()) & set(jl.prefix(other, common, ranks).tolist())
+    assert jl.similar(own[:0], own[:0], Fraction(4, 5))
