@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
 Fit: for every language the most frequent n-grams of a bounded sample go into that
-language's Bloom filter. The filters of up to 64 languages are sliced by bit: slot
+language's Bloom filter. The filters of each 64 languages are sliced by bit: slot
 j of one uint64 table holds, in bit l, slot j of language l's filter. A look-up
 ANDs the k slots of an n-gram and so returns the set of all languages holding it.
 
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import hash_share
+from gleaner.llm.common import materialise
 
 ORDERS = (2, 3, 4)
 PIECE = 1 << 20
@@ -116,28 +116,50 @@ class LanguageFilters:
         return hits, total
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
-        hits, total = self.counts(text)
-        share = (hits / total - self.rates) / (1 - self.rates)
-        best = int(np.argmax(share))
-        return self.languages[best], float(min(1.0, max(0.0, share[best])))
+        return best_language([self], text)
 
 
-def fit_language_filters(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_per_language: int = 2000, grams_per_language: int = 6000, seed: int = 4) -> LanguageFilters:
+@dataclass
+class LanguageTables:
+    """Any number of languages, 64 to a table, in the languages' order."""
+
+    tables: list[LanguageFilters]
+
+    @property
+    def languages(self) -> list[str]:
+        return [l for t in self.tables for l in t.languages]
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return best_language(self.tables, text)
+
+
+def best_language(tables: list[LanguageFilters], text: str | None) -> tuple[str, float]:
+    if text is None or not any(t.languages for t in tables) or not has_letter(text):
+        return UNKNOWN, 0.0
+    shares = []
+    for t in tables:
+        hits, total = t.counts(text)
+        shares.append((hits / total - t.rates) / (1 - t.rates))
+    share = np.concatenate(shares)
+    best = int(np.argmax(share))
+    return [l for t in tables for l in t.languages][best], float(min(1.0, max(0.0, share[best])))
+
+
+def fit_language_filters(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_per_language: int = 2000, grams_per_language: int = 6000, seed: int = 4) -> LanguageFilters | LanguageTables:
     """Learn the filters from the labelled rows of docs.
 
     The bound: about ``sample_per_language`` texts of a language, chosen by a hash of the id, and its
-    ``grams_per_language`` most frequent n-grams (ties by key). Only those n-grams, 64 times that
-    number at most, come to the driver.
+    ``grams_per_language`` most frequent n-grams (ties by key). Only those n-grams come to the
+    driver, of 64 languages at a time. Beyond 64 languages the result has several tables.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not sizes:
         return LanguageFilters.build({})
-    chosen = F.lit(False)
-    for language, n in sizes.items():
-        chosen = chosen | ((F.col(lang_col) == language) & hash_share(F.col(id_col), min(1.0, sample_per_language / n), seed))
+    spark, size = docs.sparkSession, known.schema[lang_col].dataType.simpleString()
+    least = spark.createDataFrame([(l, int(min(1.0, sample_per_language / n) * (1 << 28))) for l, n in sizes.items()], f"_lang {size}, _most long")
+    drawn = F.xxhash64(F.col(id_col), F.lit(seed)).bitwiseAND(F.lit(0xFFFFFFF)) < F.col("_most")
+    chosen = known.join(F.broadcast(least), (F.col(lang_col) == F.col("_lang")) & drawn)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, list[np.ndarray]] = {}
@@ -149,13 +171,17 @@ def fit_language_filters(docs: DataFrame, lang_col: str = "lang", text_col: str
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pd.DataFrame({"lang": language, "gram": keys.view(np.int64), "n": n})
 
-    counted = known.where(chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= grams_per_language).select("lang", "gram").toPandas()
-    return LanguageFilters.build({l: g["gram"].to_numpy(np.int64).view(np.uint64) for l, g in top.groupby("lang")})
+    top = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= grams_per_language).select("lang", "gram")
+    build = lambda rows: LanguageFilters.build({l: g["gram"].to_numpy(np.int64).view(np.uint64) for l, g in rows.groupby("lang")})
+    if len(sizes) <= 64:
+        return build(top.toPandas())
+    top, names = materialise(top, "grams"), sorted(sizes)
+    return LanguageTables([build(top.where(F.col("lang").isin(names[k : k + 64])).toPandas()) for k in range(0, len(names), 64)])
 
 
-def identify_language(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def identify_language(docs: DataFrame, filters: LanguageFilters | LanguageTables, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: the id, any carried columns, lang_pred and score."""
     names = [*dict.fromkeys([id_col, *carry])]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)

@@ -34,3 +34,13 @@ def test_fit_and_edge_cases(spark):
     nothing = fit_language_filters(docs.limit(0))
     assert {r.lang_pred for r in identify_language(tests, nothing).collect()} == {UNKNOWN}
     assert identify_language(tests.limit(0), f).count() == 0
+
+
+def test_more_languages_than_a_mask_holds(spark):
+    # each language has letters of its own; the rarest would be left out of a fit of 64
+    rows = [(100 * l + k, " ".join(chr(0x4E00 + 20 * l + (k + j) % 7) * 3 for j in range(12)), f"l{l:02d}") for l in range(70) for k in range(2 if l > 3 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = fit_language_filters(docs)
+    assert filters.languages == sorted({r[2] for r in rows})
+    got = {r.doc_id: (r.lang_pred, r.score > 0.9) for r in identify_language(docs, filters).collect()}
+    assert got == {i: (l, True) for i, _, l in rows}
