@@ -20,13 +20,13 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import delete_path, release, scratch_path
-from gleaner.llm.jaccard_links import keep_one_similar
+from gleaner.llm.common import scratch_path, scratch_scope
 from gleaner.llm.language_filters import UNKNOWN, fit_language_filters, identify_language
 from gleaner.llm.mixing_tree import mix_sources
 from gleaner.llm.packing_hilbert import pack_along_curve
 from gleaner.llm.quality_repeats import repeat_quality
 from gleaner.llm.queries import tokenizer_path
+from gleaner.llm.simhash_texts import keep_one_similar
 
 #: A text is rejected if the best language holds less than this share of its n-grams.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -89,14 +89,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    last = None
-    for name, stage in STAGES:
-        path = scratch_path(spark, name)
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
-        release(spark, but=path)
-        if last:
-            delete_path(spark, last)
-        last = path
+    result = scratch_path(spark, "pipeline")
+    with scratch_scope(spark):  # the stages' results, but for the last one's
+        for name, stage in STAGES:
+            path = result if name == STAGES[-1][0] else scratch_path(spark, name)
+            with scratch_scope(spark):  # what a stage needs while its result is written
+                made = stage(spark, docs, sf_dir)
+                made.write.parquet(path)
+            docs = spark.read.schema(made.schema).parquet(path)
     return docs

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,25 +17,39 @@ from gleaner.sources.shared import shared_dir
 #: A word is a run of anything but the six ASCII white-space characters (Java regex).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Scratch folders handed out per application, so that release() can drop them.
-_scratch: dict[str, list[str]] = {}
+#: Scratch folders of the scopes that are open, innermost last, each to be dropped as its scope ends. The first list is
+#: the session's: tables that a result still reads; they go as the driver's process ends.
+_scopes: list[list[str]] = [[]]
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are dropped at the end, but for those made with ``outer``, which belong to the scope around."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            delete_path(spark, path.rsplit("/", 1)[0])
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path under the shared folder, remembered for release()."""
+def scratch_path(spark: SparkSession, tag: str, outer: bool = False) -> str:
+    """A fresh path under the shared folder, dropped with its scope."""
     path = f"{shared_dir(spark)}/gleaner-{uuid.uuid4().hex}/{tag}"
-    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _scopes[max(0, len(_scopes) - 1 - outer)].append(path)
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, outer: bool = False) -> DataFrame:
     """Write df to a table in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation,
     and the table survives where cached blocks would not.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, tag)
+    path = scratch_path(spark, tag, outer)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,12 +60,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession, but: str | None = None) -> None:
-    """Drop the scratch tables of this application, one path aside; call it once results are written."""
-    paths = _scratch.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        if path != but:
-            delete_path(spark, path.rsplit("/", 1)[0])
+@atexit.register
+def _drop_rest() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with suppress(Exception):  # the JVM may have gone before
+            for path in _scopes[0]:
+                delete_path(spark, path.rsplit("/", 1)[0])
 
 
 def fold(id_col: Column, modulus: int) -> Column:

@@ -4,7 +4,8 @@ Each round is two group-by-minimum passes joined back to the edges; the number o
 rounds grows with the logarithm of the longest chain. Minima are taken with
 partial aggregation and joined back on the node, so a node with very many
 neighbours is only a skewed join, which adaptive execution splits; no node's
-neighbours are gathered in one task. Every round is written to the shared folder.
+neighbours are gathered in one task. Every round is written to the shared folder, and
+the one before it dropped.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialise
+from gleaner.llm.common import delete_path, scratch_path
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,11 +35,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Nodes without an edge to another node are left out. Null ends are dropped.
     """
-    now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark, kept = edges.sparkSession, []
+
+    def written(df: DataFrame) -> DataFrame:
+        kept.append(scratch_path(spark, "star"))
+        df.write.option("compression", "zstd").parquet(kept[-1])
+        for path in kept[:-1]:
+            delete_path(spark, path)
+        return spark.read.schema(df.schema).parquet(kept[-1])
+
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not mark[0] or mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = mark
-        now = materialise(_star(_star(now, large=True), large=False), "star")
+        now = written(_star(_star(now, large=True), large=False))

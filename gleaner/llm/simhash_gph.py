@@ -13,8 +13,8 @@ partition, and the thresholds may be unequal; t_i = -1 leaves a partition out.
   correlation over all distinct fingerprints. Kept apart they'd make every
   partition unselective.
 - m and the t_i come from a dynamic programme over the partitions that minimises
-  estimated candidate pairs and index entries. The estimate comes from the bits'
-  second moments over all distinct fingerprints, weighed for a table of fixed size.
+  estimated candidate pairs and index entries, for as many fingerprints as the table
+  has. The estimate comes from the bits' second moments over all distinct fingerprints.
 - Two values agree up to t bits if they have a masked form in common (t of the
   bits left out), so each fingerprint has C(width, t) entries in an index and the
   probes of an entry are the other fingerprints in its bucket. Every candidate is
@@ -23,18 +23,20 @@ partition, and the thresholds may be unequal; t_i = -1 leaves a partition out.
 Scale. Copies fold into one fingerprint first, so groups of copies cost nothing.
 Buckets are runs of a sorted table and are streamed. A bucket with more than
 ``HEAVY`` fingerprints is dealt again: its members agree in its bits, so the same
-pigeonhole argument holds on the rest, and buckets shrink until they're light or
-out of bits. A bucket emits a spanning forest of its links, never all pairs.
+pigeonhole argument holds on the rest, with groups and thresholds planned anew from
+the moments of what is crowded; buckets shrink until they're light or out of bits. A
+bucket emits a spanning forest of its links, never all pairs.
 
 Edge cases: null and empty texts have fingerprint 0, linked like any other;
 repeated rows each keep their row; null ids get a component but can't name one
 (its id is the smallest non-null one, null if there is none); an empty table gives
-an empty result; columns other than those named are not read.
+an empty result; very long texts are hashed whole, in memory that is a multiple of the
+text's; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -45,29 +47,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialise
+from gleaner.llm.common import materialise, scratch_scope
 from gleaner.llm.components import connected_components
 
 BITS = 64
 #: Rows of one bucket that a task compares at once; larger buckets are dealt again by further bits.
 HEAVY = 2000
+#: What an index entry costs, which is shuffled and sorted, in comparisons of two fingerprints.
+ENTRY_COST = 100.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The unsigned 64-bit SimHash of a text's word shingles; 0 without a word."""
-    return _majority(_shingle_hashes(text, shingle, seed))
+    return _majority(shingle_hashes(text, shingle, seed))
 
 
-def fingerprint_pair(text: str | None, shingle: int = 3, seed: int = 42) -> tuple[int, int]:
-    """The fingerprint and a second one, of the same hashes mixed again, to verify links with."""
-    h = _shingle_hashes(text, shingle, seed)
-    again = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    again = (again ^ (again >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return _majority(h), _majority(again ^ (again >> np.uint64(31)))
-
-
-def _shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -88,66 +84,73 @@ def _majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), second: bool = False) -> DataFrame:
-    """id, fp (the fingerprint as a signed long), with ``second`` fp2, and the carried columns."""
-    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and fp (the fingerprint as a signed long)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch[text_col]]
-            made = np.array([fingerprint_pair(t, shingle) if second else (fingerprint(t, shingle),) for t in texts], np.uint64).reshape(-1, 1 + second)
-            own = {"fp": made[:, 0].view(np.int64)} | ({"fp2": made[:, 1].view(np.int64)} if second else {})
-            yield pd.DataFrame({"id": batch[id_col]} | own | {c: batch[c] for c in carry})
+            made = [fingerprint(t if isinstance(t, str) else None, shingle) for t in batch[text_col]]
+            yield pd.DataFrame({"id": batch[id_col], "fp": np.array(made, np.uint64).view(np.int64)})
 
-    return docs.select(*dict.fromkeys([id_col, text_col, *carry])).mapInPandas(run, f"id {kind}, fp long{', fp2 long' if second else ''}{fields}")
+    return docs.select(id_col, text_col).mapInPandas(run, f"id {kind}, fp long")
 
 
 @dataclass(frozen=True)
 class Partition:
+    """Some bits of a fingerprint's word, and in how many of them two fingerprints may differ to meet."""
+
     bits: tuple[int, ...]
     threshold: int
+    word: int = 0
 
 
-def bit_moments(distinct: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and how many have bits a and b both set; sums come from the tasks, 64 x 64 in all."""
+def bit_moments(distinct: DataFrame, words: int = 1) -> tuple[int, list[np.ndarray]]:
+    """Number of fingerprints, and for each word how many have bits a and b both set.
+
+    distinct: fp, one long or an array of longs. Sums come from the tasks, words x 64 x 64 in all.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((BITS, BITS)), 0
+        total, n = np.zeros((words, BITS, BITS)), 0
         for batch in batches:
-            raw = np.ascontiguousarray(batch["fp"].to_numpy(np.int64)).view(np.uint8).reshape(-1, 8)
-            for start in range(0, len(raw), 1 << 16):
-                x = np.unpackbits(raw[start : start + (1 << 16)], axis=1, bitorder="little").astype(np.float32)
-                total += x.T @ x
+            rows = batch["fp"].to_numpy() if words == 1 else np.array(batch["fp"].tolist())
+            raw = np.ascontiguousarray(rows.astype(np.int64)).view(np.uint8).reshape(-1, words, 8)
+            for start in range(0, len(raw), 1 << 13):
+                x = np.unpackbits(raw[start : start + (1 << 13)], axis=2, bitorder="little").astype(np.float32)
+                for w in range(words):
+                    total[w] += x[:, w].T @ x[:, w]
                 n += len(x)
-        a, b = np.divmod(np.arange(BITS * BITS), BITS)
-        yield pd.DataFrame({"a": np.append(a, -1), "b": np.append(b, -1), "n": np.append(total.ravel(), n).astype(np.int64)})
+        at = np.indices(total.shape).reshape(3, -1)
+        yield pd.DataFrame({"w": np.append(at[0], -1), "a": np.append(at[1], 0), "b": np.append(at[2], 0), "n": np.append(total.ravel(), n).astype(np.int64)})
 
-    got = distinct.select("fp").mapInPandas(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    both, n = np.zeros((BITS, BITS)), 0
-    for a, b, c in got:
-        if a < 0:
+    got = distinct.select("fp").mapInPandas(run, "w int, a int, b int, n long").groupBy("w", "a", "b").agg(F.sum("n").alias("n")).collect()
+    both, n = np.zeros((words, BITS, BITS)), 0
+    for w, a, b, c in got:
+        if w < 0:
             n = int(c)
         else:
-            both[a, b] = c
-    return n, both
+            both[w, a, b] = c
+    return n, [*both]
 
 
-def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
+def group_bits(n: int, both: np.ndarray, m: int, among: list[int] | None = None) -> list[list[int]]:
     """m groups of nearly equal width; each starts with a free bit and takes the free bit most correlated with it."""
+    among = list(range(BITS)) if among is None else among
     p = np.diag(both) / max(n, 1)
     cov = both / max(n, 1) - np.outer(p, p)
     scale = np.sqrt(np.maximum(np.outer(p * (1 - p), p * (1 - p)), 1e-12))
     corr = np.abs(cov / scale)
-    free, groups = set(range(BITS)), []
+    np.fill_diagonal(corr, 0)
+    free, groups = np.zeros(BITS, bool), []
+    free[among] = True
     for k in range(m):
-        width = BITS // m + (k < BITS % m)
-        group = [max(free, key=lambda b: (sum(corr[b, c] for c in free if c != b), -b))]
-        free.discard(group[0])
-        while len(group) < width:
-            best = max(free, key=lambda b: (corr[b, group].sum(), -b))
-            group.append(best)
-            free.discard(best)
+        width = len(among) // m + (k < len(among) % m)
+        near, group = corr[:, free].sum(1), []
+        for _ in range(width):
+            group.append(int(np.where(free, near, -1.0).argmax()))
+            free[group[-1]] = False
+            near = corr[:, group].sum(1)
         groups.append(group)
     return groups
 
@@ -171,37 +174,53 @@ def agree_share(n: int, both: np.ndarray, bits: list[int], most: int) -> np.ndar
     return np.cumsum(dist)
 
 
-def allocate(n: int, both: np.ndarray, limit: int, entry_cost: float = 50.0, scale: int = 1_000_000) -> list[Partition]:
-    """Partitions and thresholds with the least estimated cost: candidate pairs, and index entries at entry_cost each.
+def allocate(n: int, both: list[np.ndarray], gain: Callable[[int, int], int], need: int, most: int, among: list[int] | None = None, groups_at_most: int = 8) -> list[Partition]:
+    """The partitions and thresholds of least estimated cost, candidate pairs and index entries at ENTRY_COST each, whose
+    gains sum to ``need`` at least.
 
-    The shares of pairs that agree come from the n fingerprints at hand; the costs are weighed for a table of
-    ``scale`` fingerprints, so that tables of any size get the same number of index entries a fingerprint.
+    both: the moments of n fingerprints, for each of their words. gain(width, t): what a partition of so many bits gives
+    at threshold t, up to ``most``. Every number of groups a word is tried; for each, a dynamic programme over the groups
+    holds the least cost of every sum of gains.
     """
     best: tuple[float, list[Partition]] | None = None
-    both, n = (both * (scale / n), scale) if n else (both, scale)
-    for m in range(1, limit + 2):
-        groups = group_bits(n, both, m)
-        units = limit + 1
-        cost = np.full((m + 1, units + 1), np.inf)
-        cost[0, 0] = 0
-        pick = np.zeros((m + 1, units + 1), int)
-        for i, bits in enumerate(groups):
-            pairs = n * max(n - 1, 0) / 2 * agree_share(n, both, bits, min(limit, len(bits)))
-            for u in range(units + 1):
-                for t in range(min(u, len(pairs)) + 1):
-                    c = cost[i, u - t] + (0 if t == 0 else pairs[t - 1] + entry_cost * n * comb(len(bits), t - 1))
-                    if c < cost[i + 1, u]:
-                        cost[i + 1, u], pick[i + 1, u] = c, t
-        if best is None or cost[m, units] < best[0]:
-            u, parts = units, []
-            for i in range(m, 0, -1):
-                if t := int(pick[i, u]):
-                    parts.append(Partition(tuple(sorted(groups[i - 1])), t - 1))
-                u -= t
-            best = (float(cost[m, units]), parts[::-1])
+    bits = BITS if among is None else len(among)
+    for m in range(1, min(groups_at_most, bits) + 1):
+        groups = [(w, g) for w, moments in enumerate(both) for g in group_bits(n, moments, m, among)]
+        cost = np.full(need + 1, np.inf)
+        cost[0] = 0
+        steps = []
+        for w, group in groups:
+            pairs = n * max(n - 1, 0) / 2 * agree_share(n, both[w], group, min(most, len(group) - 1))
+            new, pick, back = cost.copy(), np.full(need + 1, -1), np.arange(need + 1)
+            for t in range(len(pairs)):
+                g = min(need, gain(len(group), t))
+                if g > 0:
+                    own = cost + pairs[t] + ENTRY_COST * n * comb(len(group), t)
+                    to, at = own[: need + 1 - g].copy(), np.arange(need + 1 - g)
+                    at[-1] = need - g + int(own[need - g :].argmin())  # more than needed counts as needed
+                    to[-1] = own[at[-1]]
+                    less = to < new[g:]
+                    new[g:][less], pick[g:][less], back[g:][less] = to[less], t, at[less]
+            steps.append((pick, back))
+            cost = new
+        if np.isfinite(cost[need]) and (best is None or cost[need] < best[0]):
+            u, parts = need, []
+            for (w, group), (pick, back) in zip(groups[::-1], steps[::-1], strict=True):
+                if pick[u] >= 0:
+                    parts.append(Partition(tuple(sorted(group)), int(pick[u]), w))
+                    u = int(back[u])
+            best = (float(cost[need]), parts[::-1])
+    if best is None:
+        raise ValueError("the fingerprints are too short for what is needed of them")
     return best[1]
 
 
+def within(n: int, both: np.ndarray, limit: int, among: list[int] | None = None) -> list[Partition]:
+    """Partitions whose thresholds find every pair of one-word fingerprints that differ in at most limit bits. There are at
+    most limit + 1 of them, so that a bucket that is dealt again and again runs out of bits soon."""
+    return allocate(max(n, 1), [both], lambda width, t: t + 1, limit + 1, limit, among, limit + 1)
+
+
 def masks_of(parts: list[Partition]) -> np.ndarray:
     """One mask for each way to leave out t of a partition's bits; entries agree on a mask's bits."""
     out = []
@@ -211,13 +230,7 @@ def masks_of(parts: list[Partition]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _deeper(mask: int, limit: int) -> list[int]:
-    """Masks for a bucket whose members agree on mask: the rest of the bits in limit + 1 parts, each added to it."""
-    rest = [b for b in range(BITS) if not mask >> b & 1]
-    return [mask | sum(1 << b for b in rest[k :: limit + 1]) for k in range(limit + 1)]
-
-
-def _mix(values: np.ndarray, masks: np.ndarray) -> np.ndarray:
+def mix(values: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """A bucket's 64-bit key. Two buckets with one key only cost some comparisons, as pairs are verified."""
     h = (values & masks) * _ODD ^ (masks * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
     h ^= h >> np.uint64(31)
@@ -225,7 +238,7 @@ def _mix(values: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return (h ^ h >> np.uint64(32)).view(np.int64)
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The edges (node, root) that keep the same values connected."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
@@ -244,54 +257,50 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-@dataclass(frozen=True)
-class Linking:
-    """Fingerprints link at up to ``limit`` bits. With ``total``, those over ``sure`` bits apart link only if they and
-    their second fingerprints together differ in up to total bits: a narrower estimate of the texts' similarity."""
-
-    limit: int = 3
-    total: int | None = None
-    sure: int = 3
-
-    def holds(self, first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
-        near = first <= self.limit
-        return near if second is None else near & ((first <= self.sure) | (first + second <= self.total))
-
-
-def bucket_links(keys: np.ndarray, fps: np.ndarray, rule: Linking, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between fingerprints that follow each other under one key. keys: sorted."""
+def bucket_links(keys: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between rows that follow each other under one key, as the rows' numbers. keys: sorted.
+    near(at, other): which of these pairs of rows link."""
     found_u, found_v = [], []
-    at = np.arange(len(keys))
-    gap = 1
+    at, gap = np.arange(len(keys)), 1
     while len(at):
         at = at[at + gap < len(keys)]
         at = at[keys[at] == keys[at + gap]]
-        apart = np.bitwise_count(fps[at] ^ fps[at + gap])
-        close = apart <= rule.limit
-        near, apart = at[close], apart[close]
-        near = near[rule.holds(apart, None if second is None else np.bitwise_count(second[near] ^ second[near + gap]))]
-        if len(near):
-            found_u.append(fps[near])
-            found_v.append(fps[near + gap])
+        close = at[near(at, at + gap)]
+        if len(close):
+            found_u.append(close)
+            found_v.append(close + gap)
             if sum(map(len, found_u)) > 1_000_000:
-                u, v = _forest(np.concatenate(found_u), np.concatenate(found_v))
+                u, v = forest(np.concatenate(found_u), np.concatenate(found_v))
                 found_u, found_v = [u], [v]
         gap += 1
     if not found_u:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return _forest(np.concatenate(found_u), np.concatenate(found_v))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return forest(np.concatenate(found_u), np.concatenate(found_v))
+
+
+def whole_buckets(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """The named columns of a stream that is sorted by the first of them, cut where its value changes."""
+    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * len(columns)
+    for batch in batches:
+        held = [np.concatenate([a, batch[c].to_numpy(np.int64)]) for a, c in zip(rest, columns, strict=True)]
+        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        rest = [a[cut:] for a in held]
+        if cut:
+            yield [a[:cut] for a in held]
+    if len(rest[0]):
+        yield rest
 
 
 def _entries(rows: pd.DataFrame, masks: np.ndarray, cut: int = 16) -> Iterator[pd.DataFrame]:
-    """key, mask, fp, fp2 of every row under every mask."""
-    fps, second = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["fp2"].to_numpy(np.int64)
+    """key, mask, fp of every row under every mask."""
+    fps = rows["fp"].to_numpy(np.int64).view(np.uint64)
     for first in range(0, len(masks), cut):
         some = masks[first : first + cut]
         mask, value = np.repeat(some, len(fps)), np.tile(fps, len(some))
-        yield pd.DataFrame({"key": _mix(value, mask), "mask": mask.view(np.int64), "fp": value.view(np.int64), "fp2": np.tile(second, len(some))})
+        yield pd.DataFrame({"key": mix(value, mask), "mask": mask.view(np.int64), "fp": value.view(np.int64)})
 
 
-_ENTRY = "key long, mask long, fp long, fp2 long"
+_ENTRY = "key long, mask long, fp long"
 
 
 def _index(distinct: DataFrame, masks: np.ndarray) -> DataFrame:
@@ -299,93 +308,69 @@ def _index(distinct: DataFrame, masks: np.ndarray) -> DataFrame:
         for batch in batches:
             yield from _entries(batch, masks)
 
-    return distinct.select("fp", "fp2").mapInPandas(run, _ENTRY)
+    return distinct.select("fp").mapInPandas(run, _ENTRY)
+
+
+def deeper(mask: int, n: int, both: np.ndarray, limit: int) -> np.ndarray:
+    """Masks for buckets of about n members that agree on mask: the rest of the bits planned anew, each part added to it."""
+    rest = [b for b in range(BITS) if not mask >> b & 1]
+    return masks_of(within(n, both, limit, rest)) | np.uint64(mask)
+
 
+def _redeal(heavy: DataFrame, limit: int, most: int, total: int, both: np.ndarray) -> DataFrame:
+    """heavy: the entries of crowded buckets of up to ``most`` members; both: the moments of their fingerprints, total in all."""
 
-def _redeal(heavy: DataFrame, limit: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plans: dict[int, np.ndarray] = {}
         for batch in batches:
             for mask, group in batch.groupby("mask"):
-                yield from _entries(group, np.array(_deeper(int(np.int64(mask).view(np.uint64)), limit), np.uint64))
+                own = int(np.int64(mask).view(np.uint64))
+                if own not in plans:
+                    plans[own] = deeper(own, most, both * (most / total), limit)
+                yield from _entries(group, plans[own])
 
-    return heavy.select("mask", "fp", "fp2").mapInPandas(run, _ENTRY)
+    return heavy.select("mask", "fp").mapInPandas(run, _ENTRY)
 
 
-def _links(index: DataFrame, rule: Linking) -> DataFrame:
+def _links(index: DataFrame, limit: int) -> DataFrame:
     """u, v from buckets that are light: a sorted stream, cut where a key ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        for keys, signed in whole_buckets(batches, ("key", "fp")):
+            fps = signed.view(np.uint64)
+            u, v = bucket_links(keys, lambda a, b: np.bitwise_count(fps[a] ^ fps[b]) <= limit)  # noqa: B023
+            yield pd.DataFrame({"u": signed[u], "v": signed[v]})
 
-        def pairs(keys: np.ndarray, fps: np.ndarray, second: np.ndarray) -> pd.DataFrame:
-            u, v = bucket_links(keys, fps.view(np.uint64), rule, None if rule.total is None else second.view(np.uint64))
-            return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+    return index.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long")
 
-        for batch in batches:
-            held = [np.concatenate([a, batch[c].to_numpy(np.int64)]) for a, c in zip(rest, ("key", "fp", "fp2"), strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            rest = [a[cut:] for a in held]
-            if cut:
-                yield pairs(*[a[:cut] for a in held])
-        if len(rest[0]):
-            yield pairs(*rest)
-
-    return index.select("key", "fp", "fp2").repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long")
-
-
-def near_links(distinct: DataFrame, rule: Linking = Linking(), heavy: int = HEAVY) -> DataFrame:
-    """u, v: links that connect all fingerprints that the rule links. distinct: fp, each once, and for a rule with a total fp2."""
-    limit = rule.limit
-    if "fp2" not in distinct.columns:
-        distinct = distinct.withColumn("fp2", F.lit(0).cast("long"))
+
+def near_links(distinct: DataFrame, limit: int = 3, heavy: int = HEAVY) -> DataFrame:
+    """u, v: links that connect all fingerprints that differ in at most limit bits. distinct: fp, each once."""
     n, both = bit_moments(distinct)
-    index = _index(distinct, masks_of(allocate(n, both, limit)))
+    index = _index(distinct, masks_of(within(n, both[0], limit)))
     found: DataFrame | None = None
     while True:
         index = materialise(index, "index")
-        crowded = materialise(index.groupBy("key", "mask").count().where((F.col("count") > heavy) & (F.bit_count(F.col("mask")) < BITS - limit)).select("key", "mask"), "crowded")
-        if crowded.isEmpty():
-            links = _links(index, rule)
+        crowded = materialise(index.groupBy("key", "mask").count().where((F.col("count") > heavy) & (F.bit_count(F.col("mask")) < BITS - limit)), "crowded")
+        most = crowded.agg(F.max("count")).first()[0]
+        if most is None:
+            links = _links(index, limit)
             return links if found is None else found.unionByName(links)
-        light = _links(index.join(crowded, ["key", "mask"], "left_anti"), rule)
+        light = _links(index.join(crowded, ["key", "mask"], "left_anti"), limit)
         found = light if found is None else found.unionByName(light)
-        index = _redeal(index.join(crowded, ["key", "mask"], "left_semi"), limit)
+        full = materialise(index.join(crowded, ["key", "mask"], "left_semi"), "full")
+        total, own = bit_moments(full)
+        index = _redeal(full, limit, int(most), total, own[0])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fp, component (the smallest id that links reach)."""
     prints = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    first = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = materialise(connected_components(near_links(first, Linking(limit))), "roots")
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("least").alias("component"))
-    linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
-    # a table of its own, so that both sides of the last join are plain shuffles and a hot fingerprint's side can be split
-    classes = materialise(first.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
+    with scratch_scope(docs.sparkSession):
+        first = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+        roots = materialise(connected_components(near_links(first, limit)), "roots")
+        named = first.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("least").alias("component"))
+        linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
+        # a table of its own, so that both sides of the last join are plain shuffles and a hot fingerprint's side can be split
+        classes = materialise(first.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "classes", outer=True)
     return prints.join(classes, "fp").select("id", "fp", "component")
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, rule: Linking = Linking(), heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each near-duplicate component: that with the smallest id (nulls last).
-
-    Rows that repeat id and text are copies like any others. Column names of docs are free.
-    """
-    names = docs.columns
-    plain = docs.toDF(*[f"_c{k}" for k in range(len(names))])
-    own_id, own_text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
-    keyed = plain.withColumn("_h", F.xxhash64(own_text, F.lit(2)))
-    keys = materialise(fingerprints(keyed, shingle, own_id, own_text, carry=("_h",), second=rule.total is not None), "keys")
-    seconds = [F.min("fp2").alias("fp2")] if rule.total is not None else []
-    first = materialise(keys.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), *seconds), "distinct")
-    roots = materialise(connected_components(near_links(first, rule, heavy)), "roots")
-    return keep_least(keyed, keys.withColumnRenamed("fp", "node"), roots, own_id).toDF(*names)
-
-
-def keep_least(keyed: DataFrame, keys: DataFrame, roots: DataFrame, own_id: str) -> DataFrame:
-    """The row of keyed with the smallest id of each component. keyed: own_id, _h; keys: their id, _h, node; roots: node, root."""
-    rooted = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_h")).alias("best"))
-    kept = materialise(best.select(F.col("best.id").alias("_id"), F.col("best._h").alias("_kh")), "kept")
-    left = keyed.join(kept, keyed[own_id].eqNullSafe(kept["_id"]) & (keyed["_h"] == kept["_kh"]), "left_semi")
-    if not keys.groupBy("id", "_h").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates([own_id, "_h"])
-    return left.drop("_h")

@@ -6,7 +6,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 pytest.importorskip("public_tokenizers")
 from gleaner.llm.quality_repeats import RepeatRules, assess  # noqa: E402
-from gleaner.llm.simhash_gph import fingerprint_pair  # noqa: E402
+from gleaner.llm.simhash_texts import shingle_set, similar  # noqa: E402
 
 
 def sample():
@@ -40,13 +40,11 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(key, out["quality_rules"].collect())) == sorted(map(key, good))
     lettered = [r for r in good if any(c.isalpha() for c in r[1])]
     assert sorted(map(key, out["language_id"].collect())) == sorted(map(key, lettered)) and len(lettered) < len(good)
-    prints = [(r[0] is None, r[0] or 0, fingerprint_pair(r[1])) for r in lettered]
-    apart = lambda a, b: (a ^ b).bit_count()
-    linked = lambda a, b: apart(a[0], b[0]) <= 3 or apart(a[0], b[0]) <= 8 and apart(a[0], b[0]) + apart(a[1], b[1]) <= 16
+    sets = [(r[0] is None, r[0] or 0, shingle_set(r[1])) for r in lettered]
     groups = {}
-    for n, i, f in sorted(prints):
-        near = {g for g, own in groups.items() if any(linked(f, o) for o in own)}
-        merged = {f}.union(*[groups.pop(g) for g in near])
+    for n, i, f in sorted(sets, key=lambda x: x[:2]):
+        near = {g for g, own in groups.items() if any(similar(f, o) for o in own)}
+        merged = [f, *(o for g in near for o in groups.pop(g))]
         groups[min(near, default=(n, i))] = merged
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out["near_dedup"].collect()) == sorted(groups)
     kept = {r.doc_id: r for r in out["near_dedup"].collect()}

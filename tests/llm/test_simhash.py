@@ -47,7 +47,7 @@ def test_links_connect_what_brute_force_does(spark, limit, heavy):
             fps.add(s)
     want = brute_components(sorted(fps), limit)
     df = spark.createDataFrame(pd.DataFrame({"fp": np.array(sorted(fps), np.uint64).view(np.int64)}))
-    got = {r.node: r.root for r in connected_components(sh.near_links(df, sh.Linking(limit), heavy)).collect()}
+    got = {r.node: r.root for r in connected_components(sh.near_links(df, limit, heavy)).collect()}
     assert {f: got.get(f, f) for f in fps} == want
 
 
@@ -57,7 +57,7 @@ def test_allocation_is_a_pigeonhole():
     bits[:, 1::2] = bits[:, ::2]  # each bit has a twin
     both = (bits.T @ bits).astype(float)
     for n, limit in ((0, 8), (1, 8), (500, 3), (10**7, 3), (10**9, 3), (10**6, 6)):
-        parts = sh.allocate(n, both * n / 500, limit, scale=max(n, 1000))
+        parts = sh.within(n, both * n / 500, limit)
         assert sum(p.threshold + 1 for p in parts) == limit + 1
         used = [b for p in parts for b in p.bits]
         assert len(used) == len(set(used))
@@ -80,20 +80,16 @@ def test_operator_edge_cases(spark):
     limit = (sh.fingerprint(text) ^ sh.fingerprint(near)).bit_count() <= 3
     assert (9, 3) in got and got.count((3, 3)) == 2 and (7, 7) in got and (8, 7) in got and (11, 11) in got and (None, 3) in got and (None, None) in got
     assert ((5, 3) in got) == limit and len(got) == len(rows)
-    left = sh.keep_one(docs).collect()
-    assert left[0].__fields__ == ["doc_id", "text", "component"]
-    ids = sorted((r.doc_id for r in left), key=str)
-    assert ids == sorted([3, 7, 11, 12, None] + ([] if limit else [5]), key=str)
-    assert sh.near_duplicates(docs.limit(0)).count() == 0 and sh.keep_one(docs.limit(0)).count() == 0
-
-
-def test_second_fingerprint_verifies(spark):
-    text = " ".join(f"w{k}" for k in range(200))
-    docs = [(1, text), (2, text.replace("w50 ", "x ").replace("w120 ", "y ")), (3, " ".join(f"v{k}" for k in range(200)))]
-    a, b = (sh.fingerprint_pair(t) for _, t in docs[:2])
-    assert a[0] == sh.fingerprint(text) and (a[1] ^ b[1]).bit_count() < 20
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert sorted(r.doc_id for r in sh.keep_one(df, rule=sh.Linking(8, 20)).collect()) == [1, 3]
-    far = pd.DataFrame({"fp": [5, 7], "fp2": [0, -1]})
-    count = lambda rule: sh.near_links(spark.createDataFrame(far), rule).distinct().count()
-    assert count(sh.Linking(3)) == count(sh.Linking(3, 20)) == 1 and count(sh.Linking(3, 20, sure=0)) == 0
+    assert sh.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_plans_follow_the_number_of_fingerprints():
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 2, (2000, 64))
+    both = (bits.T @ bits) / 2000
+    plans = [sh.within(n, both * n, 3) for n in (10**4, 10**8, 10**10)]
+    assert [p.threshold for p in plans[0]] == [0, 0, 0, 0] and max(p.threshold for p in plans[2]) > 0
+    assert len(sh.masks_of(plans[0])) < len(sh.masks_of(plans[1])) <= len(sh.masks_of(plans[2]))
+    mask = int(sh.masks_of(plans[0])[0])
+    more = sh.deeper(mask, 5000, both * 5000, 3)
+    assert all(int(m) & mask == mask and int(m) != mask for m in more)
