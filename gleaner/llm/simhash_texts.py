@@ -11,7 +11,8 @@ fingerprint bits differ, too many for a guarantee from 64 bits; so here
   similarity asked for with probability ``RECALL`` (pairs that are closer are found more
   surely), at the least estimated cost for as many fingerprints as there are;
 - a pair that meets in a bucket is a candidate if two words of the fingerprints together
-  differ in no more bits than similar texts' do, which unrelated texts practically never pass.
+  differ in no more bits than similar texts' do, which unrelated texts practically never pass;
+  before the texts are compared, all words are.
 
 Scale. Texts with the same words fold into one node first. Buckets are streamed and
 give stars over the candidates in them, never all pairs. Crowded buckets, such as those of
@@ -113,6 +114,11 @@ def _apart(a: str, b: str) -> Column:
     return sum(F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in (1, 2))
 
 
+def _far(a: str, b: str, words: int) -> Column:
+    """In how many bits the fingerprints differ."""
+    return sum(F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(words))
+
+
 def _members(nodes: DataFrame, masks: list[tuple[int, int]], limit: int) -> tuple[DataFrame, DataFrame]:
     """token, node, c1, c2, head: the members of candidate stars in light buckets, with the head of their star; and of all
     rows in crowded buckets, with their hub (null where it is too far). masks: word, mask."""
@@ -148,10 +154,10 @@ def _members(nodes: DataFrame, masks: list[tuple[int, int]], limit: int) -> tupl
     if not crowded.isEmpty():
         light = index.join(crowded, "token", "left_anti")
         full = index.join(crowded, "token", "left_semi")
-        hub = F.min_by(F.struct("node", "c1", "c2"), F.struct(F.xxhash64("node"), "node"))
+        hub = F.min(F.struct("node", "c1", "c2"))  # as in light buckets the smallest, so that buckets agree on it
         hubs = full.groupBy("token").agg(hub.alias("h")).select("token", F.col("h.node").alias("hub"), F.col("h.c1").alias("h1"), F.col("h.c2").alias("h2"))
         full = materialise(full.join(hubs, "token").select("token", "node", "c1", "c2", F.when(_apart("c", "h") <= limit, F.col("hub")).alias("head")), "full", outer=True)
-    made = light.repartition("token").sortWithinPartitions("token").mapInPandas(stars, f"{kind}, head long")
+    made = light.repartition("token").sortWithinPartitions("token", "node").mapInPandas(stars, f"{kind}, head long")
     made = materialise(made, "members", outer=True)
     return made, made.limit(0) if full is None else full
 
@@ -219,57 +225,57 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sh
     for light, full in made[1:]:
         members = members.unionByName(light).unionByName(full)
     families = materialise(connected_components(members.where("head <> node").select(F.col("node").alias("u"), F.col("head").alias("v"))), "families").withColumnRenamed("root", "family")
-    checks = nodes.select("node", F.col("fp")[0].alias("c1"), F.col("fp")[1].alias("c2"), "_h")
-    if families.isEmpty():
-        state = families.withColumn("root", F.col("node"))
-    else:
-        state = materialise(families.join(checks, "node").withColumn("root", F.col("node")), "state")
-    exact, links, tested = _Texts(texts, shingle, share), None, None
-    exact.add(state.select("node", "_h") if "_h" in state.columns else checks.limit(0).select("node", "_h"))
-
-    def settle(pairs: DataFrame) -> tuple[int, DataFrame | None]:
-        """Tests pairs; returns how many link, and the roots by all links so far."""
-        nonlocal links, tested
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    whole, far = check_limit(share, 64 * words), lambda a, b: _far(a, b, words)
+    state = materialise(families.join(nodes.select("node", "fp", "_h"), "node").withColumn("root", F.col("node")), "state")
+    exact, tested = _Texts(texts, shingle, share), []
+    exact.add(state.select("node", "_h"))
+    roots = state.select("node", "root").limit(0)  # of the nodes that have links
+
+    def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
+        own = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+        return df.join(own, node, "left").withColumn(root, F.coalesce(root, node))
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        for done in tested:
+            pairs = pairs.join(done, ["u", "v"], "left_anti")
+        return materialise(pairs, "pairs")
+
+    def settle(pairs: DataFrame) -> int:
+        """Tests pairs and merges the roots of those that link; how many do."""
+        nonlocal roots
+        tested.append(pairs)
         found = exact.similar(pairs)
         grown = found.count()
         if grown:
-            links = found if links is None else links.unionByName(found)
-            return grown, materialise(connected_components(links), "roots")
-        return 0, None
-
-    roots = None
-    for turn in range(rounds if "_h" in state.columns else 0):
-        open_ = state.groupBy("family").agg(F.count_distinct("root").alias("roots")).where("roots > 1").select("family")
-        inside = state.join(open_, "family")
-        # the hub: of the root, other than those that have had one, that the hash puts first
-        hub = F.min_by(F.struct("node", "c1", "c2", "root"), F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node"), "node"))
-        hubs = inside.groupBy("family").agg(hub.alias("h")).select("family", *[F.col(f"h.{c}").alias(t) for c, t in (("node", "hub"), ("c1", "h1"), ("c2", "h2"), ("root", "hub_root"))])
-        met = inside.join(hubs, "family").where((F.col("root") != F.col("hub_root")) & (_apart("c", "h") <= limit))
-        pairs = met.select(*_pair("node", "hub"))
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+            between = rooted(rooted(found, "u", "a"), "v", "b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+            merged = materialise(connected_components(between), "merged").select(F.col("node").alias("root"), F.col("root").alias("to"))
+            old = roots.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            new = merged.select(F.col("root").alias("node"), F.col("to").alias("root")).join(old.select("node"), "node", "left_anti")
+            roots = materialise(old.unionByName(new), "roots")
+        return grown
+
+    for turn in range(rounds):
+        inside = rooted(state.drop("root"), "node", "root")
+        open_ = inside.groupBy("family").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("family")
+        inside = materialise(inside.join(open_, "family"), "inside")
+        # the hub: of the root that the hash of this turn puts first
+        hub = F.min_by(F.struct("node", "fp", "root"), F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node"), "node"))
+        hubs = inside.groupBy("family").agg(hub.alias("h")).select("family", *[F.col(f"h.{c}").alias(t) for c, t in (("node", "hub"), ("fp", "hub_fp"), ("root", "hub_root"))])
+        pairs = untested(inside.join(hubs, "family").where((F.col("root") != F.col("hub_root")) & (far("fp", "hub_fp") <= whole)).select(*_pair("node", "hub")))
         load = pairs.count()
-        if not load:
-            break
-        grown, new = settle(pairs)
-        if new is not None:
-            roots = new
-            state = materialise(state.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "state")
-        if grown * 20 < load:
+        if not load or settle(pairs) * 20 < load:
             break
     # pairs of a bucket or star that links haven't connected: all rows against those outside the largest root there
-    rooted = members.select("token", "node", "c1", "c2").distinct()
-    rooted = rooted.withColumn("root", F.col("node")) if roots is None else rooted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = rooted.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "main")
-    rooted = materialise(rooted.join(sizes, "token"), "rest")
-    other = rooted.where("root <> main").select("token", *[F.col(c).alias(t) for c, t in (("node", "node2"), ("c1", "d1"), ("c2", "d2"), ("root", "root2"))])
-    pairs = rooted.join(other, "token").where((F.col("root") != F.col("root2")) & (_apart("c", "d") <= limit)).select(*_pair("node", "node2")).distinct()
-    pairs = materialise(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+    rest = rooted(members.select("token", "node").distinct(), "node", "root")
+    sizes = rest.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "main")
+    rest = materialise(rest.join(sizes, "token").join(nodes.select("node", "fp"), "node"), "rest")
+    other = rest.where("root <> main").select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "fp", "root")])
+    pairs = untested(rest.join(other, "token").where((F.col("root") != F.col("root2")) & (far("fp", "fp2") <= whole)).select(*_pair("node", "node2")).distinct())
     if not pairs.isEmpty():
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        exact.add(checks.join(ends, "node", "left_semi").select("node", "_h"))
-        roots = settle(pairs)[1] or roots
-    return families.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
+        exact.add(nodes.select("node", "_h").join(ends, "node", "left_semi"))
+        settle(pairs)
+    return roots
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = SHINGLE, share: Fraction = SHARE, recall: float = RECALL, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
