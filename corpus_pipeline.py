@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import scratch_path, scratch_scope
 from gleaner.llm.language_filters import UNKNOWN, fit_language_filters, identify_language
-from gleaner.llm.mixing_tree import mix_sources
+from gleaner.llm.mixing_tree import mix_sources, mixture
 from gleaner.llm.packing_hilbert import pack_along_curve
 from gleaner.llm.quality_repeats import repeat_quality
 from gleaner.llm.queries import tokenizer_path
@@ -63,10 +63,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document."""
+    """The mix: a row for each time it takes a document, dealt by shard and shuffled inside."""
     plain, own = _renamed(docs)
     mixed = mix_sources(plain, id_col=own["doc_id"], text_col=own["text"], source_col=own["source"], carry=tuple(own.values()))
-    return mixed.select(*own.values(), F.explode("copies")).select(*own.values()).toDF(*own)
+    return mixture(mixed).select(*own.values()).toDF(*own)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

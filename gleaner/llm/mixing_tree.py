@@ -4,11 +4,12 @@ Targets. Sources in code-point order (null last) weigh 1, 2, 3, 1, 2, ... and sh
 all words by weight. A target stops at ``most`` times its source's words, and what
 lies above is shared by weight among the others until none is above.
 
-Draws. A source's documents are hashed into blocks of about ``block_words`` words.
-A target of p whole passes over its source and a rest takes every block p times,
-then the first blocks of a seeded permutation while they fit in the rest; the
-block that no longer fits is filled document by document, so the words taken miss
-the target by less than the smallest document left out of that block, mostly by far less.
+Draws. A source's documents are hashed into blocks; their size follows the table's, so that
+small tables too have many (see ``MixSettings``). A target of p whole passes over its source
+and a rest takes every block p times, then the first blocks of a seeded permutation until
+little of the rest is left; of the next few blocks documents are taken one by one, so the
+words taken miss the target by less than the smallest document left out of them, mostly by
+far less.
 
 Shards. The block quotas of all sources are dealt to the output shards by a
 binary tree: at each node the left half's quotas are one multivariate-
@@ -17,8 +18,8 @@ and disjoint part of each source. A shard's blocks are a run of the source's
 permuted blocks; within a shard documents are ordered by a seeded hash.
 
 All random choices are functions of the seed and the data, so reruns agree, in
-whatever order tasks run. Only one number per source and the tree's quotas (shards
-x sources) are on the driver. The running sums over a source's blocks are taken in
+whatever order tasks run. Only one number per source and the tree's quotas are on the
+driver: shards x sources numbers, at most ``QUOTAS``; with more sources shards are larger. The running sums over a source's blocks are taken in
 two levels of at most ``_RUN`` expected blocks, so a hot source's blocks don't meet
 in one task.
 
@@ -27,7 +28,8 @@ enough to be broadcast, which is counted; beyond that the join shuffles.
 
 Edge cases: a null text has size 0 and is taken 0 times in words; a null source is
 a source of its own, after the others; repeated rows share a block and are taken
-alike; sources without a word have target 0; an empty table gives an empty result;
+alike; sources without a word have target 0; a text longer than a block is a block's only
+content or nearly, and is taken whole or left; an empty table gives an empty result;
 columns other than those named are carried only where asked for.
 """
 
@@ -51,14 +53,31 @@ _BROADCAST_ROWS = 200_000
 COPIES = "array<struct<epoch:int,shard:int>>"
 
 
+#: Numbers that the tree may have on the driver and in tasks.
+QUOTAS = 1 << 22
+
+
 @dataclass(frozen=True)
 class MixSettings:
+    """block_words and shard_words are upper bounds; tables of fewer words have ``least_shards`` shards of ``shard_blocks`` blocks,
+    and about ``fill_blocks`` blocks, or ``fill_words`` words if those are more, around the rest's end are taken by documents."""
+
     weights: tuple[int, ...] = (1, 2, 3)
     most: int = 3
     block_words: int = 1 << 18
     shard_words: int = 1 << 26
+    least_shards: int = 16
+    shard_blocks: int = 16
+    fill_blocks: int = 8
+    fill_words: int = 1 << 13
     seed: int = 3
 
+    def of(self, words: int, sources: int) -> tuple[int, int]:
+        """Words of a shard and of a block for a table."""
+        shard = max(1, min(self.shard_words, words // self.least_shards))
+        shard = max(shard, -(-words * sources // QUOTAS))
+        return shard, max(1, min(self.block_words, shard // self.shard_blocks))
+
 
 @dataclass(frozen=True)
 class Source:
@@ -89,13 +108,14 @@ def share_targets(sizes: list[int], weights: list[int], most: int) -> list[float
 
 
 def plan_sources(totals: list[tuple[str | None, int]], settings: MixSettings) -> list[Source]:
+    block_words = settings.of(sum(n for _, n in totals), len(totals))[1]
     ordered = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
     targets = share_targets([n for _, n in ordered], [settings.weights[k % len(settings.weights)] for k in range(len(ordered))], settings.most)
     out = []
     for (name, n), target in zip(ordered, targets, strict=True):
         whole = min(round(target), settings.most * n)
         passes, rest = divmod(whole, n) if n else (0, 0)
-        out.append(Source(name, n, target, max(1, ceil(n / settings.block_words)), passes, rest))
+        out.append(Source(name, n, target, max(1, ceil(n / block_words)), passes, rest))
     return out
 
 
@@ -144,7 +164,10 @@ def sized(docs: DataFrame, settings: MixSettings, id_col: str, text_col: str, so
 
 
 def _block_copies(blocks: DataFrame, sources: list[Source], settings: MixSettings) -> DataFrame:
-    """_s, _block, copies (epoch, shard) and fill: the words to take of the block that is only partly taken."""
+    """_s, _block, copies (epoch, shard) and fill: the words to take of its source's blocks that are only partly taken."""
+    total = sum(s.words for s in sources)
+    shard_words, block_words = settings.of(total, len(sources))
+    reach = max(block_words * settings.fill_blocks, settings.fill_words) // 2 if block_words < settings.block_words else 0
     words = Window.partitionBy("_s", "_run").orderBy("_p", "_block")
     runs = blocks.groupBy("_s", "_run").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("c"))
     over = Window.partitionBy("_s").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,12 +176,16 @@ def _block_copies(blocks: DataFrame, sources: list[Source], settings: MixSetting
     rest = {k: s.rest for k, s in enumerate(sources)}
     rests = blocks.sparkSession.createDataFrame([*rest.items()], "_s int, rest long")
     end = F.col("_end") + F.col("w0")
-    state = F.when(end <= F.col("rest"), 1).when(end - F.col("words") < F.col("rest"), 2).otherwise(0)
-    ranked = materialise(ranked.join(rests, "_s").select("_s", "_block", (F.col("_rank") + F.col("c0")).alias("rank"), state.alias("state"), (F.col("rest") - end + F.col("words")).alias("fill")), "blocks")
+    near = (end - F.col("words") < F.col("rest") + reach) & (F.col("rest") > 0)
+    state = F.when((end <= F.col("rest") - reach) & (F.col("words") > 0), 1).when(near, 2).otherwise(0)
+    ranked = ranked.join(rests, "_s").select("_s", "_block", (F.col("_rank") + F.col("c0")).alias("rank"), state.alias("state"), end.alias("end"), "rest")
+    # what the blocks that are taken whole leave of the rest
+    full = ranked.groupBy("_s").agg(F.coalesce(F.max(F.when(F.col("state") == 1, F.col("end"))), F.lit(0)).alias("full"))
+    ranked = materialise(ranked.join(full, "_s").select("_s", "_block", "rank", "state", (F.col("rest") - F.col("full")).alias("fill")), "blocks")
     counts = {r["_s"]: r for r in ranked.groupBy("_s").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("state") > 0).cast("long")).alias("partial")).collect()}
     n = [int(counts[k]["n"]) if k in counts else 0 for k in range(len(sources))]
     quotas = np.array([s.passes * n[k] + (int(counts[k]["partial"]) if k in counts else 0) for k, s in enumerate(sources)], np.int64)
-    shards = max(1, ceil(sum(s.target for s in sources) / settings.shard_words))
+    shards = max(1, ceil(sum(s.target for s in sources) / shard_words))
     ends = np.cumsum(split_quotas(quotas, shards, settings.seed), axis=0)
     passes = [s.passes for s in sources]
     steps = [[next((m for m in range(max(1, n_b * 2 // 3 + e), 2 * n_b + 2) if gcd(m, n_b) == 1), 1) if n_b else 1 for e in range(settings.most)] for n_b in n]
@@ -200,7 +227,7 @@ def first_fit(sizes: list[int], fill: int) -> list[bool]:
 
 
 def _filled(partial: DataFrame) -> DataFrame:
-    """_s, _h of the documents that fill their source's partly taken block: at most block_words of them, as each has a word."""
+    """_s, _h of the documents that fill their source's partly taken blocks: at most block_words of them, as each has a word."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_h"], kind="stable")
@@ -229,16 +256,22 @@ def mix_sources(docs: DataFrame, settings: MixSettings = MixSettings(), id_col:
     n_chosen, n_blocks = chosen.count(), sum(s.blocks for s in sources)
     facts = docs.sparkSession.createDataFrame([(k, s.words, s.target, s.passes) for k, s in enumerate(sources)], "_s int, source_size long, target double, _passes int")
     rows = _numbered(base, sources).withColumn("_block", block).join(_small(dealt, n_blocks), ["_s", "_block"]).join(_small(facts, len(sources)), "_s").join(_small(chosen, n_chosen), ["_s", "_h"], "left")
-    # a document of the partly taken block has the last copy only if it was chosen
+    # a document of a partly taken block has the last copy only if it was chosen
     copies = F.when(F.col("fill").isNull() | F.coalesce("_in", F.lit(False)), F.col("copies")).otherwise(F.filter("copies", lambda c: c["epoch"] < F.col("_passes")))
     return rows.select(*keep, F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), _hash(F.col("_h"), settings.seed + 1).alias("order")).withColumn("taken", F.col("size") * F.size("copies"))
 
 
+def mix_place(order: Column, epoch: Column, seed: int = MixSettings.seed) -> Column:
+    """A copy's place in its shard: shards are read in ascending order of it."""
+    return _hash(order, epoch, seed + 2)
+
+
 def mixture(mixed: DataFrame, seed: int = MixSettings.seed) -> DataFrame:
     """The mix itself: a row for each copy, with shard and epoch, dealt by shard and shuffled inside it by a seeded hash.
 
-    mixed: what mix_sources returns. A shard's rows are together and sorted by their place; shards are of bounded size.
+    mixed: what mix_sources returns. A shard's rows are sorted by their place; ranges of shard and place are dealt out, so
+    a partition is a run of the mix, whatever a shard's size.
     """
     each = mixed.withColumn("_copy", F.explode("copies")).drop("copies", "taken")
-    placed = each.withColumns({"shard": F.col("_copy.shard"), "epoch": F.col("_copy.epoch"), "place": _hash(F.col("order"), F.col("_copy.epoch"), seed + 2)})
-    return placed.drop("_copy", "order").repartitionByRange("shard").sortWithinPartitions("shard", "place")
+    placed = each.withColumns({"shard": F.col("_copy.shard"), "epoch": F.col("_copy.epoch"), "place": mix_place(F.col("order"), F.col("_copy.epoch"), seed)})
+    return placed.drop("_copy", "order").repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")

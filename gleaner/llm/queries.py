@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import license_digests
 from gleaner.llm.common import fold, table
 from gleaner.llm.language_filters import fit_language_filters, identify_language
-from gleaner.llm.mixing_tree import mix_sources
+from gleaner.llm.mixing_tree import mix_place, mix_sources
 from gleaner.llm.packing_hilbert import pack_along_curve
 from gleaner.llm.pivot_topk import top_inner_products
 from gleaner.llm.quality_cnn import fit_quality, score_quality
@@ -32,7 +32,7 @@ def op2_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("shards"))
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("shards"), F.transform("copies", lambda c: mix_place(F.col("order"), c["epoch"])).alias("places"))
 
 
 def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
-from gleaner.llm.mixing_tree import MixSettings, first_fit, mix_sources, mixture, plan_sources, share_targets, split_quotas
+from gleaner.llm.mixing_tree import QUOTAS, MixSettings, first_fit, mix_sources, mixture, plan_sources, share_targets, split_quotas
 
 
 def test_targets_stop_and_reshare():
@@ -71,5 +71,55 @@ def test_mixture_is_shuffled_within_shards(spark):
     assert sum(a != b for a, b in zip(sources, sources[1:], strict=False)) > len(out) / 3
 
 
+def replay(rows, settings):
+    """The draws again, by lists: (id, size) -> copies of the rows, for tables without repeated rows."""
+    sizes = [(i, t, s, len((t or "").split())) for i, t, s, _ in rows]
+    names = sorted({s for _, _, s, _ in sizes}, key=lambda x: (x is None, x or ""))
+    plan = plan_sources([(n, sum(z for _, _, s, z in sizes if s == n)) for n in names], settings)
+    shard_words, block_words = settings.of(sum(z for *_, z in sizes), len(names))
+    return names, plan, shard_words, block_words
+
+
+def test_shards_and_blocks_follow_the_table(spark):
+    settings = MixSettings()
+    docs = [(k, " ".join(["w"] * (40 + k % 50)), f"s{k % 3}", 1) for k in range(600)]
+    names, plan, shard_words, block_words = replay(docs, settings)
+    total = sum(s.words for s in plan)
+    assert total // shard_words == 16 and all(s.blocks >= 60 for s in plan)
+    assert MixSettings().of(10**13, 10**4)[0] * QUOTAS >= 10**13 * 10**4 and MixSettings().of(10**11, 5) == (1 << 26, 1 << 18)
+    got = mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string, n int"), carry=("source",)).collect()
+    shards = defaultdict(int)
+    for r in got:
+        for c in r.copies:
+            shards[c.shard] += r["size"]
+    assert len(shards) >= 16 and max(shards.values()) < 2.5 * shard_words
+    # whole blocks are drawn, but for a few of each source: the documents of a block have the same copies
+    by = defaultdict(lambda: defaultdict(set))
+    for r in got:
+        by[r.source][tuple(sorted((c.epoch, c.shard) for c in r.copies))].add(r.doc_id)
+    for name, s in zip(names, plan, strict=True):
+        taken = sum(r.taken for r in got if r.source == name)
+        assert abs(taken - s.target) <= 40
+        epochs = [len(r.copies) for r in got if r.source == name]
+        assert set(epochs) <= {s.passes, s.passes + 1}
+
+
+def test_quotas_reach_every_shard(spark):
+    """The shards' blocks of a source are what the tree gave them: a run of places, each block in one of them."""
+    docs = [(k, " ".join(["w"] * 50), "ab"[k % 2], 1) for k in range(800)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n int")
+    got = mix_sources(df, carry=("source",)).collect()
+    per = defaultdict(lambda: defaultdict(int))
+    for r in got:
+        for c in r.copies:
+            per[c.shard][r.source] += r["size"]
+    share = {s: sum(p[s] for p in per.values()) for s in "ab"}
+    assert share["a"] < share["b"]  # weights 1 and 2
+    mixed = [p["b"] / (p["a"] + p["b"]) for p in per.values()]
+    assert len(per) > 10 and abs(sum(mixed) / len(mixed) - 2 / 3) < 0.08 and len({round(x, 6) for x in mixed}) > 3
+    out = mixture(mix_sources(df, carry=("source",))).collect()
+    assert len({(r.doc_id, r.epoch) for r in out}) == len(out)
+
+
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
