@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.sources.shared import written
+
 
 @dataclass(frozen=True)
 class ModelSpec:
@@ -121,7 +123,7 @@ def evaluate_models(specs: list[ModelSpec], evaluate: Callable[[ModelSpec], Data
     for spec in specs:
         try:
             one = evaluate(spec).withColumn("model", F.lit(spec.name))
-            one.schema  # analysis errors surface here
+            one = written(one, "model")  # a model that fails as it runs fails here
         except Exception as e:  # noqa: BLE001 - one model's failure must not end the others
             log(f"{spec.name}: {e}")
             continue

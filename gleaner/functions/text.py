@@ -24,9 +24,9 @@ def collapse(c: Column, most: int | None = None) -> Column:
     return F.substring(one, 1, most) if most else one
 
 
-def split_ids(c: Column, unique: bool = False) -> Column:
-    """Ids parted by ; or , without blanks, in order; unique drops repeats."""
-    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[;,]"), strip), lambda x: x != "")
+def split_ids(c: Column, unique: bool = False, marks: str = "[;,]") -> Column:
+    """Ids parted by any of the marks (a character class), without blanks, in order; unique drops repeats."""
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), marks), strip), lambda x: x != "")
     return F.array_distinct(parts) if unique else parts
 
 

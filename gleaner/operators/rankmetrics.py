@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed value: the name of the row over all categories
@@ -62,8 +62,8 @@ def summarize(detail: DataFrame, keys: tuple[str, ...] = ("model",), category: s
 
 def warm_latency(calls: DataFrame, key: str = "model", order: str = "call", latency: str = "latency") -> DataFrame:
     """Mean latency without each key's first call (where it has more than one), its throughput and nearest-rank p95 of the same calls."""
-    w = Window.partitionBy(key)
-    warm = calls.withColumn("_first", F.min(order).over(w)).withColumn("_n", F.count(F.lit(1)).over(w)).where((F.col("_n") == 1) | (F.col(order) > F.col("_first")))
+    firsts = calls.groupBy(key).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    warm = calls.join(firsts, key).where((F.col("_n") == 1) | (F.col(order) > F.col("_first")))
     return warm.groupBy(key).agg(F.avg(latency).alias("avg_latency"), F.try_divide(F.lit(1.0), F.avg(latency)).alias("throughput"), p95(latency).alias("p95_latency"))
 
 

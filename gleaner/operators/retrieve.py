@@ -15,9 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: So many query vectors travel with the tasks; more are dealt in blocks.
+#: So many queries travel with the tasks; more are dealt in parts.
 SMALL_QUERIES = 4096
-_BLOCK = 1024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -48,43 +47,45 @@ def _matrix(v: pd.Series) -> np.ndarray:
     return _unit(np.array(v.tolist(), dtype=np.float64))
 
 
+def in_chunks(queries: DataFrame, small: int) -> list[DataFrame]:
+    """The queries, or where there are more than small, hashed parts of them of about three quarters of it."""
+    n = queries.count()
+    if n <= small:
+        return [queries]
+    parts = -(-4 * n // (3 * small))
+    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, small: int = SMALL_QUERIES) -> DataFrame:
     """qid, rank, cid, score: the k corpus vectors with the highest cosine, exactly.
 
     Each task scores its corpus rows against the queries by matrix products and keeps k of each, so a query's
-    shuffle is k rows a task. Up to ``small`` queries (counted) go with the tasks; more are packed into
-    blocks that meet the corpus's blocks pair by pair. Null vectors take no part.
+    shuffle is k rows a task, and corpus vectors never move. The queries travel with the tasks; more than
+    ``small`` (counted) are dealt in parts, each with its own pass over the corpus. Null vectors take no part.
     """
     queries = queries.where("qid is not null and vec is not null").select("qid", F.col("vec").cast("array<double>").alias("vec"))
     corpus = corpus.where("cid is not null and vec is not null").select("cid", F.col("vec").cast("array<double>").alias("vec"))
     ids = f"qid {queries.schema['qid'].dataType.simpleString()}, cid {corpus.schema['cid'].dataType.simpleString()}, score double"
-    few = queries.limit(small + 1).toPandas()
-    if len(few) <= small:
-        if few.empty:
-            hits = queries.sparkSession.createDataFrame([], ids)
-        else:
-            qids, q = few["qid"].to_numpy(), _matrix(few["vec"])
-
-            def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    if len(b):
-                        yield _best(qids, q, b["cid"].to_numpy(), _matrix(b["vec"]), k, digits)
-
-            hits = corpus.mapInPandas(scan, ids)
-    else:
-        # blocks of either side; each pair of blocks is one row, so a task holds a few blocks at a time
-        n_c, n_q = corpus.count(), queries.count()
-        b_c, b_q = max(1, -(-n_c // (4 * _BLOCK))), -(-n_q // _BLOCK)
-        pack = lambda df, key, n, name: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"_{name}")).agg(F.collect_list(key).alias(f"{name}_ids"), F.collect_list("vec").alias(f"{name}_vecs"))
-        asked = pack(queries, "qid", b_q, "q").withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(b_c - 1)).cast("array<long>")))
-
-        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def hits_of(few: pd.DataFrame) -> DataFrame:
+        qids, q = few["qid"].to_numpy(), _matrix(few["vec"])
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for r in b.itertuples(index=False):
-                    yield _best(np.asarray(r.q_ids), _matrix(pd.Series(list(r.q_vecs))), np.asarray(r.c_ids), _matrix(pd.Series(list(r.c_vecs))), k, digits)
+                if len(b):
+                    yield _best(qids, q, b["cid"].to_numpy(), _matrix(b["vec"]), k, digits)
+
+        return corpus.mapInPandas(scan, ids)
 
-        hits = asked.join(pack(corpus, "cid", b_c, "c"), "_c").select("q_ids", "q_vecs", "c_ids", "c_vecs").mapInPandas(meet, ids)
-    return rank_by(hits, "score", k)
+    held = [few for few in (part.toPandas() for part in in_chunks(queries, small)) if len(few)]
+    return rank_by(_union([hits_of(few) for few in held]) if held else queries.sparkSession.createDataFrame([], ids), "score", k)
 
 
 def first_ranks(queries: DataFrame, corpus: DataFrame, targets: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]], digits: int = 6, small: int = SMALL_QUERIES) -> DataFrame:
@@ -92,21 +93,15 @@ def first_ranks(queries: DataFrame, corpus: DataFrame, targets: dict[str, Callab
 
     queries: qid, tag, vec; corpus: cid (a number), tag, vec. A target says which corpus rows it wants from the tags of
     both (arrays broadcast against each other). Two passes over the corpus: the best wanted row of each query, then how
-    many rows beat it; a task emits one row for each query. More than ``small`` queries are ranked in full instead.
+    many rows beat it; a task emits one row for each query. More than ``small`` queries are dealt in parts.
     """
     queries, corpus = queries.where("qid is not null and vec is not null"), corpus.where("cid is not null and vec is not null")
-    few = queries.select("qid", "tag", F.col("vec").cast("array<double>").alias("vec")).limit(small + 1).toPandas()
-    names = [*targets]
-    if len(few) > small:
-        full = top_k(queries, corpus, corpus.count(), digits, small)
-        own = full.join(queries.select("qid", F.col("tag").alias("qt")), "qid").join(corpus.select("cid", F.col("tag").alias("ct")), "cid")
+    queries = queries.select("qid", "tag", F.col("vec").cast("array<double>").alias("vec"))
+    return _union([_first_ranks(part, corpus, targets, digits) for part in in_chunks(queries, small)])
 
-        def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b[["qid", "rank"]].assign(**{n: f(b["qt"].to_numpy(), b["ct"].to_numpy()) for n, f in targets.items()})
 
-        marked = own.mapInPandas(mark, f"qid {queries.schema['qid'].dataType.simpleString()}, rank int, " + ", ".join(f"{n} boolean" for n in names))
-        return marked.groupBy("qid").agg(*[F.min(F.when(F.col(n), F.col("rank"))).alias(n) for n in names])
+def _first_ranks(queries: DataFrame, corpus: DataFrame, targets: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]], digits: int) -> DataFrame:
+    few, names = queries.toPandas(), [*targets]
     qids = queries.schema["qid"].dataType.simpleString()
     if few.empty:
         return queries.sparkSession.createDataFrame([], f"qid {qids}, " + ", ".join(f"{n} int" for n in names))
@@ -156,6 +151,62 @@ def sparse_pairs(queries: DataFrame, corpus: DataFrame, digits: int = 6) -> Data
     return q.join(c, "term").groupBy("qid", "cid").agg(F.round(F.sum(F.col("wq") * F.col("wc")), digits).alias("score"))
 
 
+def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, small: int = SMALL_QUERIES) -> DataFrame:
+    """qid, rank, cid, score: the k corpus texts with the highest sparse dot product, of those that share a term.
+
+    Rows are (id, term, weight). The queries' postings, term by term, travel with the tasks (more than ``small`` queries
+    in parts); a corpus text's terms are brought together once, and tasks add up the products of whole batches and keep k
+    a query. So neither common terms nor pairs of texts are shuffled.
+    """
+    packed = corpus.where("cid is not null").groupBy("cid").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    ids = f"qid {queries.schema['qid'].dataType.simpleString()}, cid {corpus.schema['cid'].dataType.simpleString()}, score double"
+
+    def hits_of(few: pd.DataFrame) -> DataFrame:
+        at, qids = pd.factorize(few["qid"])
+        number, vocabulary = pd.factorize(few["term"])
+        number_of = {t: i for i, t in enumerate(vocabulary)}
+        order = np.argsort(number, kind="stable")
+        ends = np.searchsorted(number[order], np.arange(len(vocabulary) + 1))
+        who, weight = at[order], few["weight"].to_numpy(float)[order]
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for start in range(0, len(whole), 256):
+                    batch = whole.iloc[start : start + 256]
+                    row = np.repeat(np.arange(len(batch)), batch["terms"].str.len())
+                    term = np.array([number_of.get(t, -1) for own in batch["terms"] for t in own], np.int64)
+                    w = np.array([x for own in batch["weights"] for x in own], float)
+                    known = np.flatnonzero(term >= 0)
+                    known = known[np.argsort(term[known], kind="stable")]
+                    if not len(known):
+                        continue
+                    score, shared = np.zeros((len(batch), len(qids))), np.zeros((len(batch), len(qids)), bool)
+                    cuts = np.flatnonzero(np.append(True, term[known][1:] != term[known][:-1]))
+                    for own in np.split(known, cuts[1:]):
+                        t = term[own[0]]
+                        cells = np.ix_(row[own], who[ends[t] : ends[t + 1]])
+                        score[cells] += w[own][:, None] * weight[ends[t] : ends[t + 1]]
+                        shared[cells] = True
+                    score = np.where(shared, np.round(score, digits), -np.inf).T
+                    if score.shape[1] > k:
+                        keep = (score >= np.partition(score, -k, axis=1)[:, -k][:, None]) & np.isfinite(score)
+                    else:
+                        keep = np.isfinite(score)
+                    a, b = np.nonzero(keep)
+                    cids = batch["cid"].to_numpy()[b]
+                    best = np.lexsort((cids, -score[a, b], a))
+                    a, b, cids = a[best], b[best], cids[best]
+                    first = np.arange(len(a)) - np.searchsorted(a, a) < k
+                    yield pd.DataFrame({"qid": np.asarray(qids)[a[first]], "cid": cids[first], "score": score[a[first], b[first]]})
+
+        return packed.mapInPandas(scan, ids)
+
+    own = queries.where("qid is not null").groupBy("qid", "term").agg(F.sum("weight").alias("weight"))
+    parts = [own.join(part, "qid", "left_semi") for part in in_chunks(own.select("qid").distinct(), small)]
+    held = [few for few in (part.select("qid", "term", "weight").orderBy("qid", "term").toPandas() for part in parts) if len(few)]
+    return rank_by(_union([hits_of(few) for few in held]) if held else queries.sparkSession.createDataFrame([], ids), "score", k)
+
+
 def lexical_overlap(hits: DataFrame, q_tokens: DataFrame, c_tokens: DataFrame, name: str = "lexical") -> DataFrame:
     """hits with the sum over shared terms of the product of weights, 0 without one. Tokens: (qid | cid), term, weight.
 

@@ -41,6 +41,6 @@ def qualify_engines(cells: DataFrame, least_cosine: float = 0.9999, least_cells:
 
 
 def select_engine(qualified: DataFrame, throughput: DataFrame, engine: str = "engine") -> DataFrame:
-    """One row: the qualified engine with the highest throughput (ties: the name whose first letter sorts first)."""
+    """One row: the qualified engine with the highest throughput (ties: the name that sorts first)."""
     both = qualified.where("qualified").join(throughput, engine)
-    return both.agg(F.max("throughput").alias("throughput"), F.max_by(engine, F.struct("throughput", (-F.ascii(engine)).alias("first"))).alias(engine)).where("throughput is not null")
+    return both.agg(F.max("throughput").alias("throughput"), F.min_by(engine, F.struct(-F.col("throughput"), engine)).alias(engine)).where("throughput is not null")

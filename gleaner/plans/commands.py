@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +139,17 @@ def intent_analysis(spark: SparkSession, corpus: str, tests: str, out: str, grou
     return recalls
 
 
+def _holds(ids: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which of the ids in ``one`` (a row) each list of ids (a column) holds."""
+    return np.array([np.isin(one[0], [] if own is None else list(own)) for own in ids[:, 0]])
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The run log there, if any."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return runlog.read_log(spark, path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+
+
 def model_benchmark(spark: SparkSession, workbook: str, out: str, specs: list[ModelSpec], faq_sheet: str, query_sheets: dict[str, str], models: list[str] | None = None) -> DataFrame | None:
     """Each model over all query sheets: summary rows by category, appended to out as one numbered run."""
     raw = sheets.read_xlsx(spark, workbook, faq_sheet, 8, 1)
@@ -146,9 +158,12 @@ def model_benchmark(spark: SparkSession, workbook: str, out: str, specs: list[Mo
 
     def evaluate(spec: ModelSpec) -> DataFrame:
         q = tests.select(F.col("test_id").alias("qid"), embed_column(F.col("query"), spec, "query").alias("vec"))
-        c = faq.select(F.col("faq_id").alias("cid"), embed_column(F.col("question"), spec).alias("vec"))
-        ranked = retrieve.top_k(q, c, c.count()).join(tests.withColumnRenamed("test_id", "qid"), "qid")
-        first = ranked.groupBy("qid", "category", "hard_neg_ids").agg(*[F.min(F.when(F.array_contains(a, F.col("cid")), F.col("rank"))).alias(n) for n, a in (("gt_rank", "gt_ids"), ("acceptable_rank", "acceptable_ids"), ("neg_rank", "hard_neg_ids"))])
+        c = faq.select(F.col("pos").alias("cid"), F.col("faq_id").cast("string").alias("tag"), embed_column(F.col("question"), spec).alias("vec"))
+        # a query's tag is a list of ids, a corpus row's its id
+        wanted = {n: q.join(tests.select(F.col("test_id").alias("qid"), F.col(a).cast("array<string>").alias("tag")), "qid") for n, a in (("gt_rank", "gt_ids"), ("acceptable_rank", "acceptable_ids"), ("neg_rank", "hard_neg_ids"))}
+        first = tests.select(F.col("test_id").alias("qid"), "category", "hard_neg_ids")
+        for name, asked in wanted.items():
+            first = first.join(retrieve.first_ranks(asked, c, {name: _holds}), "qid", "left")
         detail = rankmetrics.add_metrics(first).withColumn("hard_neg_pass", rankmetrics.hard_negative_pass(F.col("gt_rank"), F.col("neg_rank"), F.size("hard_neg_ids") > 0))
         return rankmetrics.summarize(detail.withColumn("model", F.lit(spec.name)))
 
@@ -156,7 +171,7 @@ def model_benchmark(spark: SparkSession, workbook: str, out: str, specs: list[Mo
 
     result = evaluate_models(select_models(specs, models), evaluate)
     if result is not None:
-        runlog.append_parquet(runlog.numbered(None, result), out)
+        runlog.append_parquet(runlog.numbered(_log(spark, out), result), out)
     return result
 
 
@@ -185,7 +200,7 @@ def cluster_questions(spark: SparkSession, workbook: str, sheet: str, out: str,
         total = own if total is None else total.unionByName(own)
     by = ("min_cluster_size",)
     result = cluster.cluster_quality(total, by=by).join(cluster.cluster_counts(total, by), [*by])
-    runlog.append_parquet(runlog.numbered(None, result), out)
+    runlog.append_parquet(runlog.numbered(_log(spark, out), result), out)
     return result
 
 

@@ -89,7 +89,7 @@ def _tokens(table: str, id_col: str, name: str) -> str:
 def sparse_overlap(spark, sf):
     q = tx.token_table(lab.table(spark, sf, "benchmark").withColumnRenamed("item_id", "qid"), "qid", "text")
     c = tx.token_table(lab.table(spark, sf, "documents").withColumnRenamed("doc_id", "cid"), "cid", "text")
-    return retrieve.rank_by(retrieve.sparse_pairs(q, c), "score", 5).select("qid", "rank", "cid", "score")
+    return retrieve.sparse_top_k(q, c, 5).select("qid", "rank", "cid", "score")
 
 
 @query(f"""WITH {_HITS}, {_tokens('documents', 'doc_id', 'w')}, p AS (SELECT * FROM hits WHERE rank <= 20),
@@ -98,7 +98,8 @@ def sparse_overlap(spark, sf):
     SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS INTEGER) AS rank, cid, score FROM m""")
 def hybrid_rank(spark, sf):
     hits = retrieve.top_k(*lab.queries_and_corpus(spark, sf), 20)
-    tokens = tx.token_table(lab.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    met = hits.select(F.explode(F.array("qid", "cid")).alias("doc_id")).distinct()
+    tokens = tx.token_table(lab.table(spark, sf, "documents").select("doc_id", "text").join(met, "doc_id", "left_semi"), "doc_id", "text")
     mixed = retrieve.lexical_overlap(hits, tokens.withColumnRenamed("doc_id", "qid"), tokens.withColumnRenamed("doc_id", "cid"))
     return retrieve.hybrid(mixed, F.col("score"), F.col("lexical")).select("qid", "rank", "cid", "score")
 
@@ -140,9 +141,9 @@ def rank_metrics_by_label(spark, sf):
 @query(f"WITH {_S}, t AS (SELECT qid, cid, score FROM s WHERE cl = ql AND cid % 5 = 1), b AS (SELECT qid, score, cid FROM t QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) = 1) SELECT b.qid, CAST(1 + count(s.cid) AS INTEGER) AS target_rank FROM b LEFT JOIN s ON s.qid = b.qid AND (s.score > b.score OR (s.score = b.score AND s.cid < b.cid)) GROUP BY b.qid")
 def first_rank_by_count(spark, sf):
     q, c = lab.queries_and_corpus(spark, sf)
-    scored = retrieve.top_k(q, c, c.count()).select("qid", "cid", "score")
-    target = q.select("qid", "ql").join(c.where("cid % 5 = 1").select("cid", "cl"), F.col("ql") == F.col("cl")).select("qid", "cid")
-    return rankmetrics.count_better(scored, target)
+    wanted = c.withColumn("tag", F.when(F.col("cid") % 5 == 1, F.col("cl")).otherwise(-1))
+    found = retrieve.first_ranks(q.withColumnRenamed("ql", "tag"), wanted, {"target_rank": lambda x, y: x == y})
+    return found.where("target_rank is not null")
 
 
 @query(f"WITH {_FIRST} SELECT qid, CAST(gt_rank AS INTEGER) AS gt_rank, CAST(neg_rank AS INTEGER) AS neg_rank, (ql % 3 = 0) OR (gt_rank IS NOT NULL AND (neg_rank IS NULL OR gt_rank < neg_rank)) AS hard_neg_pass FROM f")
@@ -471,23 +472,24 @@ def topic_ids(spark, sf):
 
 # --- clustering
 
-_GROUPED = _V + ", p AS (SELECT vec_id % 10 AS grp, vec_id AS id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v), d AS (SELECT x.grp, x.id AS a, y.id AS b, round(list_distance(x.u, y.u), 6) AS dist FROM p x JOIN p y ON x.grp = y.grp)"
+_GROUPED = _V + ", p AS (SELECT 0 AS grp, vec_id AS id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v), d AS (SELECT x.grp, x.id AS a, y.id AS b, round(list_distance(x.u, y.u), 6) AS dist FROM p x JOIN p y ON x.grp = y.grp)"
 _CORES = _GROUPED + ", co AS (SELECT grp, a AS id, dist AS core FROM d QUALIFY row_number() OVER (PARTITION BY grp, a ORDER BY dist, b) = 4)"
 
 
 def _grouped(spark, sf):
-    return lab.table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    """All vectors as one group."""
+    return lab.table(spark, sf, "embeddings").select(F.lit(0).alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
 @query(f"WITH {_CORES} SELECT grp, id, core FROM co")
 def core_distance(spark, sf):
-    return cluster.core_distances(cluster.pairwise_distances(_grouped(spark, sf)), 4)
+    return cluster.core_distances(_grouped(spark, sf), 4)
 
 
 @query(f"WITH {_CORES} SELECT d.grp, a, b, greatest(dist, x.core, y.core) AS reach FROM d JOIN co x ON x.grp = d.grp AND x.id = a JOIN co y ON y.grp = d.grp AND y.id = b WHERE a < b")
 def mutual_reachability(spark, sf):
-    pairs = cluster.pairwise_distances(_grouped(spark, sf))
-    return cluster.mutual_reachability(pairs, cluster.core_distances(pairs, 4))
+    points = _grouped(spark, sf)
+    return cluster.mutual_reachability(points, cluster.core_distances(points, 4))
 
 
 @query()
@@ -495,9 +497,15 @@ def hdbscan_labels(spark, sf):
     return cluster.hdbscan(_grouped(spark, sf), min_cluster_size=3)
 
 
-@query()
+@query(f"WITH {_GROUPED} SELECT a, b, dist FROM d WHERE a < b")
+def pairwise_distance(spark, sf):
+    return cluster.pairwise_distances(_grouped(spark, sf)).select("a", "b", "dist")
+
+
+@query("WITH t AS (SELECT label - 1 AS cluster, vec_id AS id, (vec_id % 10) / 10.0 AS p FROM embeddings) SELECT cluster, id, p AS probability, count(*) OVER (PARTITION BY cluster) AS n, round(avg(p) OVER (PARTITION BY cluster), 6) AS avg_probability FROM t")
 def cluster_listing(spark, sf):
-    return cluster.cluster_listing(cluster.hdbscan(_grouped(spark, sf), min_cluster_size=3), by=("grp",)).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    t = lab.table(spark, sf, "embeddings").select((F.col("label") - 1).alias("cluster"), F.col("vec_id").alias("id"), ((F.col("vec_id") % 10) / 10).alias("probability"))
+    return cluster.cluster_listing(t).select("cluster", "id", "probability", "n", *_r("avg_probability"))
 
 
 _QUALITY = """cells AS (SELECT label AS t, vec_id % 7 AS p, CAST(count(*) AS DOUBLE) AS n FROM embeddings GROUP BY 1, 2), tt AS (SELECT t, sum(n) AS n FROM cells GROUP BY t), pp AS (SELECT p, sum(n) AS n FROM cells GROUP BY p),
@@ -579,12 +587,13 @@ def content_hash(spark, sf):
 
 @query()
 def model_evaluation(spark, sf):
-    """Embed two text tables with the built-in model, rank, and measure (the gold is each item's own text)."""
+    """The first words of each benchmark passage are looked up among the passages, by the built-in model and ranked in full."""
     spec = ModelSpec("hashed-256")
-    b = lab.table(spark, sf, "benchmark")
-    q = b.select(F.col("item_id").alias("qid"), embed_column(F.col("text"), spec, "query").alias("vec"))
-    c = b.select(F.col("item_id").alias("cid"), embed_column(F.col("text"), spec).alias("vec"))
-    ranks = retrieve.top_k(q, c, 5).groupBy("qid").agg(F.min(F.when(F.col("cid") == F.col("qid"), F.col("rank"))).alias("gt_rank"))
+    b = lab.table(spark, sf, "benchmark").withColumn("tag", F.col("item_id"))
+    start = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
+    q = b.select(F.col("item_id").alias("qid"), "tag", embed_column(start, spec, "query").alias("vec"))
+    c = b.select(F.col("item_id").alias("cid"), "tag", embed_column(F.col("text"), spec).alias("vec"))
+    ranks = retrieve.first_ranks(q, c, {"gt_rank": lambda x, y: x == y})
     detail = rankmetrics.add_metrics(ranks).withColumns({"model": F.lit(spec.name), "category": (F.col("qid") % 2).cast("string")})
     return rankmetrics.summarize(detail)
 

@@ -133,7 +133,7 @@ def query_sheet(rows: DataFrame, category: str, header: list[str | None] | None
     at = {k: find_column(header, words) if header else None for k, words in HEADERS.items()}
     col = lambda name, default: F.col(f"c{at[name]}") if at[name] is not None else default
     fixed = header is None
-    ids = lambda c: split_ids(c)
+    ids = lambda c: split_ids(c, marks="[;]" if fixed else "[;,]")
     gold = ids(F.col("c2") if fixed else col("gold", F.lit("")))
     acceptable = ids(F.col("c3") if fixed else col("acceptable", F.lit("")))
     negative = ids(F.col("c4") if fixed else col("negative", F.lit("")))

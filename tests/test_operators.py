@@ -2,10 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import models
 from gleaner.functions import text as tx
 from gleaner.functions import vectors as vx
 from gleaner.functions.models import HashedEmbedder, ModelSpec, build_embedder, embed_column, evaluate_models, prompted, score_column, select_models
-from gleaner.operators import cluster, intents, labels, rankmetrics, retrieve, runlog, thresholds
+from gleaner.operators import cluster, intents, labels, rankmetrics, retrieve, runlog, serving, thresholds
 from gleaner.streaming.grouping import group_in_order
 
 
@@ -321,3 +322,142 @@ def test_cells_from_nested_json(spark):
     q = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "engine string, qualified boolean")
     t = spark.createDataFrame([("a", 2.0), ("b", 2.0), ("c", 9.0)], "engine string, throughput double")
     assert tuple(serving.select_engine(q, t).first()) == (2.0, "a") and serving.select_engine(q.where("engine = 'c'"), t).count() == 0
+
+
+def test_more_queries_than_fit_make_no_pairs(spark):
+    q, c = vectors(4097, 5), vectors(12, 6)
+    qd, cd = spark.createDataFrame(q, "qid long, vec array<double>, tag int"), spark.createDataFrame(c, "cid long, vec array<double>, tag int")
+    ranks = retrieve.first_ranks(qd, cd, {"same": lambda a, b: a == b})
+    plan = ranks._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "Generate" not in plan
+    got = {r.qid: r.same for r in ranks.collect()}
+    full, tag, tags = brute(q[:50], c, 12), {j: t for j, _, t in c}, {i: t for i, _, t in q}
+    assert len(got) == 4097
+    for i, _, _ in q[:50]:
+        own = [r for a, r, j, _ in full if a == i and tag[j] == tags[i]]
+        assert got[i] == (min(own) if own else None)
+
+
+@pytest.mark.parametrize("small", [4096, 2])
+def test_sparse_top_k(spark, small):
+    rng = np.random.default_rng(7)
+    q = [(i, f"t{t}", float(rng.integers(1, 9))) for i in range(7) for t in rng.choice(12, 5, replace=False)]
+    c = [(i, f"t{t}", float(rng.integers(1, 9))) for i in range(600) for t in rng.choice(30, 4, replace=False)]
+    want = set()
+    for i in range(7):
+        own, scores = {t: w for a, t, w in q if a == i}, {}
+        for j, t, w in c:
+            if t in own:
+                scores[j] = scores.get(j, 0) + w * own[t]
+        want |= {(i, r + 1, j, s) for r, (s, j) in enumerate(sorted(((-s, j) for j, s in scores.items()))[:4]) for s in [-s]}
+    qd, cd = spark.createDataFrame(q, "qid long, term string, weight double"), spark.createDataFrame(c, "cid long, term string, weight double")
+    assert {(r.qid, r["rank"], r.cid, r.score) for r in retrieve.sparse_top_k(qd, cd, 4, small=small).collect()} == want
+    assert retrieve.sparse_top_k(qd.limit(0), cd, 4).count() == 0 == retrieve.sparse_top_k(qd, cd.limit(0), 4).count()
+
+
+def plain_hdbscan(x, size):
+    """Labels by the definitions: the hierarchy level by level, then the choice of clusters by mass."""
+    n = len(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, size - 1]
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None])
+
+    def parts(points, level):
+        """Components of the points by links shorter than level."""
+        left, out = set(points), []
+        while left:
+            todo = [left.pop()]
+            own = set(todo)
+            while todo:
+                p = todo.pop()
+                near = {q for q in left if reach[p, q] < level}
+                left -= near
+                own |= near
+                todo += near
+            out.append(sorted(own))
+        return out
+
+    levels = sorted({reach[a, b] for a in range(n) for b in range(a)}, reverse=True)
+
+    def cluster(points, birth):
+        """mass, chosen clusters below or at this one."""
+        mass, now = 0.0, list(points)
+        for level in levels:
+            split = parts(now, level)
+            big = [p for p in split if len(p) >= size]
+            gone = len(now) - sum(map(len, big))
+            if len(big) > 1 or not big:
+                mass += len(now) * (1 / level - birth)
+                below = [cluster(p, 1 / level) for p in big]
+                under = sum(m for m, _ in below)
+                return (under, [c for _, own in below for c in own]) if big and under > mass else (mass, [points])
+            mass += gone * (1 / level - birth)
+            now = big[0]
+        return mass, [points]
+
+    chosen = []
+    for level in levels:
+        big = [p for p in parts(range(n), level) if len(p) >= size]
+        if len(big) > 1:
+            break
+    now = list(range(n))
+    for level in levels:
+        big = [p for p in parts(now, level) if len(p) >= size]
+        if len(big) > 1:
+            chosen = [c for p in big for c in cluster(p, 1 / level)[1]]
+            break
+        if not big:
+            break
+        now = big[0]
+    label = np.full(n, -1)
+    for k, own in enumerate(chosen):
+        label[own] = k
+    return label
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hdbscan_against_the_definitions(seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, s, (12, 3)) for c, s in ((0, 0.2), (1.2, 0.3), (4, 0.5), (2.4, 0.1))] + [rng.uniform(-2, 6, (9, 3))])
+    for size in (3, 5):
+        got, want = cluster.hdbscan_points(x, size)[0], plain_hdbscan(x, size)
+        # where links are equally long, a point that splits off as a cluster is born is of it or noise, by the order of links
+        assert ((got < 0) != (want < 0)).sum() <= 2
+        both = (got >= 0) & (want >= 0)
+        pairs = set(zip(got[both].tolist(), want[both].tolist(), strict=True))
+        assert len(pairs) == len(set(got[got >= 0])) == len(set(want[want >= 0])) >= 2
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_distances_block_by_block(spark, monkeypatch, block):
+    monkeypatch.setattr(cluster, "_BLOCK", block)
+    rng = np.random.default_rng(3)
+    pts = [(g, i, rng.normal(size=4).tolist()) for g in range(2) for i in range(25)] + [(0, 40, [1.0, 0, 0, 0]), (0, 41, [2.0, 0, 0, 0])]
+    df = spark.createDataFrame(pts, "grp int, id long, vec array<double>")
+    unit = {(g, i): np.array(v) / np.linalg.norm(v) for g, i, v in pts}
+    want = {(g, i, j): round(float(np.linalg.norm(unit[g, i] - unit[g, j])), 6) for g, i in unit for h, j in unit if g == h}
+    got = {(r.grp, r.a, r.b): r.dist for r in cluster.pairwise_distances(df).collect()}
+    assert got == {k: v for k, v in want.items() if k[1] < k[2]}
+    cores = {(g, i): sorted(v for (h, a, _), v in want.items() if (h, a) == (g, i))[3] for g, i in unit}
+    found = cluster.core_distances(df, 4)
+    assert {(r.grp, r.id): r.core for r in found.collect()} == cores
+    reach = {(r.grp, r.a, r.b): r.reach for r in cluster.mutual_reachability(df, found).collect()}
+    assert reach == {(g, a, b): max(d, cores[g, a], cores[g, b]) for (g, a, b), d in got.items()}
+
+
+def test_listing_shows_every_member(spark):
+    df = spark.range(1201).select("id", F.when(F.col("id") < 1100, 0).otherwise(-1).alias("cluster"), F.lit(0.5).alias("probability"))
+    got = cluster.cluster_listing(df).collect()
+    assert [r.id for r in got] == list(range(1201)) and got[0].n == 1100 and got[-1].n == 101
+
+
+def test_engine_ties_go_to_the_name(spark):
+    both = spark.createDataFrame([("tei", True, 5.0), ("tea", True, 5.0), ("a", False, 9.0)], "engine string, qualified boolean, throughput double")
+    assert serving.select_engine(both.select("engine", "qualified"), both.select("engine", "throughput")).first().engine == "tea"
+
+
+def test_a_model_that_fails_as_it_runs_is_left_out(spark):
+    bad = F.udf(lambda x: 1 // 0, "int")
+    said = []
+    out = models.evaluate_models([models.ModelSpec("good"), models.ModelSpec("bad")], lambda s: spark.range(2).select((F.col("id") if s.name == "good" else bad("id")).cast("long").alias("v")), said.append)
+    assert [r.model for r in out.collect()] == ["good"] * 2 and said[0].startswith("bad:")
