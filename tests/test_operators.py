@@ -432,7 +432,7 @@ def test_hdbscan_against_the_definitions(seed):
 def test_distances_block_by_block(spark, monkeypatch, block):
     monkeypatch.setattr(cluster, "_BLOCK", block)
     rng = np.random.default_rng(3)
-    pts = [(g, i, rng.normal(size=4).tolist()) for g in range(2) for i in range(25)] + [(0, 40, [1.0, 0, 0, 0]), (0, 41, [2.0, 0, 0, 0])]
+    pts = [(g, i, rng.normal(size=4).tolist()) for g in range(2) for i in range(25)] + [(0, 40, [1.0, 0.0, 0.0, 0.0]), (0, 41, [2.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(pts, "grp int, id long, vec array<double>")
     unit = {(g, i): np.array(v) / np.linalg.norm(v) for g, i, v in pts}
     want = {(g, i, j): round(float(np.linalg.norm(unit[g, i] - unit[g, j])), 6) for g, i in unit for h, j in unit if g == h}
