@@ -79,6 +79,13 @@ def hash_share(id_col: Column, share: float, seed: int) -> Column:
     return (F.xxhash64(id_col, F.lit(seed)).bitwiseAND(F.lit(0xFFFFFFF)) < F.lit(int(share * (1 << 28))))
 
 
+def own_columns(names: list[str], made: tuple[str, ...]) -> list[str]:
+    """names, each once; an error where one is also the name of a column that the operator makes."""
+    if clash := sorted(set(names) & set(made)):
+        raise ValueError(f"columns are named as the result's: {', '.join(clash)}; rename them first")
+    return [*dict.fromkeys(names)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

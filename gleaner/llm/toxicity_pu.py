@@ -1,7 +1,7 @@
 """Toxicity scoring by non-negative positive-unlabelled learning.
 
-Only confirmed toxic texts (P) and unlabelled texts (U) are used. With the class
-prior p, the risk of a classifier g is
+Only confirmed toxic texts (P) and unlabelled texts (U) are used. U is a sample of all texts,
+whatever is known of them, so the class prior p among all texts holds for it. With it, the risk of a classifier g is
 
     p * R_P(g, +1) + max(0, R_U(g, -1) - p * R_P(g, -1)),
 
@@ -16,8 +16,11 @@ most between P and U, by a pooled z-score, make up the vocabulary.
 
 Edge cases: a null or empty text has no words and gets the score of the bias
 alone; with no positive text at hand every score is 0; repeated rows each get a
-row; ids with several labels count as toxic if one of them says so, and null ids
-or labels are left out of the fit; an empty table gives an empty result.
+row, and a text counts once in P and once in U; ids, of any type, with several labels count as
+toxic if one of them says so, and null ids or labels are left out of the fit; ties in the
+vocabulary go to the smaller feature; very long texts are read whole, in memory that is a
+multiple of the text's; carried columns named as the result's are refused; other columns are
+not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import hash_share, materialise
+from gleaner.llm.common import hash_share, materialise, own_columns
 
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Beside a word itself, its first so many letters are features: inflected and compound forms share them.
@@ -130,7 +133,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: PUSettings = PUSe
     """Learn from the texts of docs whose label is 1 and from the unlabelled ones.
 
     prior: share of toxic texts; by default that among all labelled rows given. Unlabelled texts are
-    those whose id has no label of 1. The samples' bounds are in the settings.
+    drawn from all texts. The samples' bounds are in the settings.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
     n, n_toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
@@ -141,8 +144,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: PUSettings = PUSe
     toxic = marks.where((F.col("toxic") == 1) & hash_share(F.col("id"), min(1.0, settings.positives / n_toxic), settings.seed)).select("id")
     texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     confirmed = texts.join(F.broadcast(toxic), "id").withColumn("positive", F.lit(True))
-    drawn = texts.where(hash_share(F.col("id"), min(1.0, settings.unlabelled / total), settings.seed + 1))
-    rest = drawn.join(marks.where("toxic = 1").select("id"), "id", "left_anti").withColumn("positive", F.lit(False))
+    rest = texts.where(hash_share(F.col("id"), min(1.0, settings.unlabelled / total), settings.seed + 1)).withColumn("positive", F.lit(False))
     once = confirmed.unionByName(rest).groupBy(F.xxhash64("text").alias("h"), "positive").agg(F.min("text").alias("text"), F.min("id").alias("id"))
     sample = materialise(once.select("id", "text", "positive"), "toxicity_sample")
     sizes = {r[0]: r[1] for r in sample.groupBy("positive").count().collect()}
@@ -175,14 +177,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: PUSettings = PUSe
             found = [sorted((number[f], v) for f, v in text_features(t).items() if f in number) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "positive": batch["positive"], "at": [[k for k, _ in x] for x in found], "value": [[v for _, v in x] for x in found]})
 
-    encoded = sample.mapInPandas(encode, "id long, positive boolean, at array<int>, value array<double>").toPandas().sort_values(["id", "positive"], kind="stable")
+    kind = sample.schema["id"].dataType.simpleString()
+    encoded = sample.mapInPandas(encode, f"id {kind}, positive boolean, at array<int>, value array<double>").toPandas().sort_values(["id", "positive"], kind="stable")
     weights, bias = train_nnpu([np.asarray(x, np.int64) for x in encoded["at"]], [np.asarray(x, float) for x in encoded["value"]], encoded["positive"].to_numpy(bool), len(number), prior, settings)
     return WordModel({w: float(weights[k]) for w, k in number.items() if weights[k]}, bias)
 
 
 def score_toxicity(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: the id, any carried columns, score and predicted (1 from 0.5)."""
-    names = [*dict.fromkeys([id_col, *carry])]
+    names = own_columns([id_col, *carry], ("score", "predicted"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
