@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialise
+from gleaner.llm.common import materialise, own_columns
 
 ORDERS = (2, 3, 4)
 PIECE = 1 << 20
@@ -45,21 +45,27 @@ def has_letter(text: str) -> bool:
 def _codes(text: str) -> np.ndarray:
     """Code points of the lower-cased text, all but letters as one space between words and at either end."""
     words = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
-    return np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit keys of the n-grams of some code points."""
+    size = len(codes) - n + 1
+    key = np.full(max(0, size), n, np.uint64)
+    for k in range(n if size > 0 else 0):
+        key = (key << np.uint64(15)) ^ (key >> np.uint64(49)) ^ codes[k : k + size].astype(np.uint64)
+    return key
+
+
+def gram_pieces(text: str, orders: tuple[int, ...] = ORDERS) -> Iterator[np.ndarray]:
+    """The keys of all n-grams of a text, each once, of PIECE places at a time."""
+    codes = _codes(text)
+    for start in range(0, len(codes), PIECE):
+        yield np.concatenate([_keys(codes[start : start + PIECE + n - 1], n) for n in orders])
 
 
 def grams(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
-    """64-bit keys of all n-grams of a text."""
-    codes, out = _codes(text), []
-    for n in orders:
-        size = len(codes) - n + 1
-        if size <= 0:
-            continue
-        key = np.full(size, n, np.uint64)
-        for k in range(n):
-            key = (key << np.uint64(15)) ^ (key >> np.uint64(49)) ^ codes[k : k + size]
-        out.append(key)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate([*gram_pieces(text, orders)])
 
 
 @dataclass
@@ -106,10 +112,8 @@ class LanguageFilters:
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """Hits by language, and the number of n-grams."""
         hits, total = np.zeros(len(self.languages), np.int64), 0
-        longest = max(ORDERS) - 1
-        for start in range(0, len(text), PIECE):
-            piece = text[max(0, start - longest) : start + PIECE]
-            masks = self.masks(grams(piece))
+        for keys in gram_pieces(text):
+            masks = self.masks(keys)
             total += len(masks)
             for l in range(len(self.languages)):
                 hits[l] += np.count_nonzero(masks & np.uint64(1 << l))
@@ -165,8 +169,7 @@ def fit_language_filters(docs: DataFrame, lang_col: str = "lang", text_col: str
         seen: dict[str, list[np.ndarray]] = {}
         for batch in batches:
             for language, text in zip(batch["lang"], batch["text"], strict=True):
-                for start in range(0, len(text), PIECE):
-                    seen.setdefault(language, []).append(grams(text[start : start + PIECE]))
+                seen.setdefault(language, []).extend(gram_pieces(text))
         for language, parts in seen.items():
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pd.DataFrame({"lang": language, "gram": keys.view(np.int64), "n": n})
@@ -183,7 +186,7 @@ def fit_language_filters(docs: DataFrame, lang_col: str = "lang", text_col: str
 
 def identify_language(docs: DataFrame, filters: LanguageFilters | LanguageTables, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: the id, any carried columns, lang_pred and score."""
-    names = [*dict.fromkeys([id_col, *carry])]
+    names = own_columns([id_col, *carry], ("lang_pred", "score"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,6 @@
 import numpy as np
+
+from gleaner.llm import language_filters as lf
 from gleaner.llm.language_filters import UNKNOWN, LanguageFilters, fit_language_filters, grams, identify_language
 
 
@@ -44,3 +46,10 @@ def test_more_languages_than_a_mask_holds(spark):
     assert filters.languages == sorted({r[2] for r in rows})
     got = {r.doc_id: (r.lang_pred, r.score > 0.9) for r in identify_language(docs, filters).collect()}
     assert got == {i: (l, True) for i, _, l in rows}
+
+
+def test_long_texts_count_every_gram_once(monkeypatch):
+    text = "Straße und Öl, the end of a line. " * 40
+    whole = np.sort(lf.grams(text))
+    monkeypatch.setattr(lf, "PIECE", 17)
+    assert (np.sort(np.concatenate([*lf.gram_pieces(text)])) == whole).all()
