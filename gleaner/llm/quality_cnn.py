@@ -9,10 +9,16 @@ Since a filter is linear, its response at a place is a sum of table rows, one fo
 each byte under it: the embedding and the filter are multiplied once per model, and
 scoring only gathers and adds.
 
+Filters move by ``STRIDE`` bytes, so a filter is tried at every fourth place; chunks cover every
+byte. The fit draws its chunks in the tasks: the driver gets a bounded number of chunks of a
+bounded number of texts, however long.
+
 Edge cases: null and empty texts are one chunk of padding; texts of any length are
 scored whole, in groups of chunks, so memory is bounded; repeated rows each get a
-row; with no label at hand every score is 0.5; ids with several labels take the
-smallest; null ids and labels are left out of the fit.
+row, and rows of one id are one text of the fit, the smallest; with no label at hand every
+score is 0.5; ids with several labels take the smallest; null ids and labels are left out of
+the fit; carried columns named as the result's are refused; other columns are not read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import hash_share
+from gleaner.llm.common import hash_share, own_columns
 
 CHUNK, OVERLAP, WIDTH, STRIDE, PAD = 512, 32, 8, 4, 256
 GROUP = 2048
@@ -33,9 +39,10 @@ GROUP = 2048
 
 @dataclass(frozen=True)
 class CNNSettings:
-    """Bounds of the fit: about so many labelled texts, chosen by a hash of the id, and so many chunks of each a round."""
+    """Bounds of the fit: about so many labelled texts, chosen by a hash of the id, so many chunks of each at all and so many a round."""
 
     samples: int = 3000
+    pool: int = 16
     chunks: int = 4
     embedding: int = 8
     filters: int = 16
@@ -113,16 +120,27 @@ class ByteCNN:
         return 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
 
 
+def drawn_chunks(text: str | None, settings: CNNSettings) -> np.ndarray:
+    """At most settings.pool chunks of a text, at places that depend on its length and the seed."""
+    chunks = text_chunks(text)
+    if len(chunks) <= settings.pool:
+        return np.ascontiguousarray(chunks)
+    return chunks[np.sort(np.random.default_rng([settings.seed, len(chunks)]).permutation(len(chunks))[: settings.pool])]
+
+
 def train_cnn(texts: list[str], labels: np.ndarray, settings: CNNSettings = CNNSettings()) -> ByteCNN:
-    """Adam on the cross-entropy; each round draws some chunks of each text."""
+    return train_chunks([drawn_chunks(t, settings) for t in texts], labels, settings)
+
+
+def train_chunks(cut: list[np.ndarray], labels: np.ndarray, settings: CNNSettings = CNNSettings()) -> ByteCNN:
+    """Adam on the cross-entropy; each round draws some of each text's chunks."""
     rng = np.random.default_rng(settings.seed)
     e, f = settings.embedding, settings.filters
     p = {"emb": rng.normal(0, 0.3, (PAD + 1, e)), "ker": rng.normal(0, (WIDTH * e) ** -0.5, (WIDTH, e, f)), "shift": np.zeros(f), "dense": rng.normal(0, 0.1, 2 * f), "bias": np.zeros(1)}
     moment, square, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    cut = [text_chunks(t) for t in texts]
     places = (CHUNK - WIDTH) // STRIDE + 1
     for _ in range(settings.rounds):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(cut))
         for start in range(0, len(order), settings.batch):
             who = order[start : start + settings.batch]
             picked = [cut[i][rng.permutation(len(cut[i]))[: settings.chunks]] for i in who]
@@ -170,15 +188,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, settings: CNNSettings = CNNS
         return None
     few = marks.where(hash_share(F.col("id"), min(1.0, settings.samples / n), settings.seed))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(few), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("mark").alias("mark")).toPandas().sort_values("id")
-    if not len(sample):
+    sample = texts.join(F.broadcast(few), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("mark").alias("mark"))
+    kind = sample.schema["id"].dataType.simpleString()
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"] == 1, "chunks": [drawn_chunks(t, settings).tobytes() for t in batch["text"]]})
+
+    got = sample.mapInPandas(draw, f"id {kind}, mark boolean, chunks binary").toPandas().sort_values("id")
+    if not len(got):
         return None
-    return train_cnn(sample["text"].tolist(), (sample["mark"] == 1).to_numpy(float), settings)
+    return train_chunks([np.frombuffer(x, np.int16).reshape(-1, CHUNK) for x in got["chunks"]], got["mark"].to_numpy(float), settings)
 
 
 def score_quality(docs: DataFrame, model: ByteCNN | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: the id, any carried columns, score and predicted (1 from the threshold)."""
-    names = [*dict.fromkeys([id_col, *carry])]
+    names = own_columns([id_col, *carry], ("score", "predicted"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,6 @@
 import numpy as np
-from gleaner.llm.quality_cnn import CHUNK, OVERLAP, PAD, ByteCNN, CNNSettings, fit_quality, score_quality, text_chunks, train_cnn
+import pytest
+from gleaner.llm.quality_cnn import CHUNK, OVERLAP, PAD, ByteCNN, CNNSettings, drawn_chunks, fit_quality, score_quality, text_chunks, train_cnn
 from gleaner.llm.toxicity_pu import PUSettings, WordModel, fit_toxicity, score_toxicity, train_nnpu
 
 
@@ -27,6 +28,25 @@ def test_toxicity_edge_cases(spark):
     assert score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_unlabelled_texts_hold_the_known_positives(spark):
+    """String ids, long and repeated texts; the bias follows the share of toxic texts among all."""
+    rows = [(f"d{k}", ("awful hateful slur " if k % 10 == 0 else "a calm day ") + f"n{k} words", "x") for k in range(300)] + [("d1", "a calm day n1 words", "x"), ("long", "calm words " * 60_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, predicted string")
+    labels = spark.createDataFrame([(f"d{k}", int(k % 10 == 0)) for k in range(300)], "doc_id string, toxic int")
+    got = score_toxicity(docs, fit_toxicity(docs, labels)).collect()
+    assert len(got) == len(rows) and all(r.predicted == int(r.doc_id != "long" and int(r.doc_id[1:]) % 10 == 0) for r in got)
+    mean = sum(r.score for r in got) / len(got)
+    assert 0.05 < mean < 0.2
+    with pytest.raises(ValueError, match="predicted"):
+        score_toxicity(docs, WordModel({}, 0.0), carry=("predicted",))
+
+
+def test_fit_draws_bounded_chunks():
+    s = CNNSettings()
+    assert drawn_chunks("word " * 100_000, s).shape == (s.pool, CHUNK) and drawn_chunks(None, s).shape == (1, CHUNK)
+    assert (drawn_chunks("word " * 900, s) == drawn_chunks("word " * 900, s)).all()
+
+
 def test_chunks_cover_the_text():
     for n in (0, 1, CHUNK - 1, CHUNK, CHUNK + 1, 5 * CHUNK + 3):
         text = "".join(chr(97 + k % 26) for k in range(n))
