@@ -2,7 +2,9 @@ import gzip
 import hashlib
 import random
 
-from gleaner.llm.warc_merge import LoserTree, capture_histories, parse_archive, write_archives
+import pytest
+from gleaner.llm import warc_merge as wm
+from gleaner.llm.warc_merge import LoserTree, capture_histories, merge_runs, parse_archive, read_runs, write_archives
 from pyspark.sql import functions as F
 
 
@@ -40,9 +42,37 @@ def test_offsets_point_at_records(spark, tmp_path):
     write_archives(pages.coalesce(1), str(tmp_path / "b"))
     (file,) = (tmp_path / "b").glob("part-*")
     raw = gzip.decompress(file.read_bytes())
+    assert [*parse_archive(raw, "x")] == [*parse_archive(file.read_bytes(), "x")]
+    members = b"".join(gzip.compress(raw[e[9] : e[9] + e[10]]) for e in parse_archive(raw, "x"))
+    assert [*parse_archive(members, "x")] == [*parse_archive(raw, "x")]
+    for broken in (raw[:-3], raw.replace(b"ynic", b"xnic").replace(b"<p>x", b"<p>y")):
+        with pytest.raises(ValueError, match="archive|damaged"):
+            list(parse_archive(broken, "x"))
     for entry in parse_archive(raw, file.name):
         assert raw[entry[9] :].startswith(b"WARC/1.1\r\n") and raw[: entry[9] + entry[10]].endswith(b"\r\n\r\n")
 
 
+def test_archives_split_by_size_and_runs_beyond_the_buffer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wm, "_PIECE", 300)  # smaller than a record: streams are read in many pieces
+    rows = [(k, f"http://h{k % 7}.org/{k % 90}", f"body {k} " * (1 + k % 40)) for k in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    write_archives(pages, str(tmp_path / "c"), archive_bytes=60_000)
+    files = [*(tmp_path / "c").glob("part-*")]
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in files]
+    assert len(files) > 10 and max(sizes) < 120_000
+    index = read_runs(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(str(tmp_path / "c")))
+    merged = merge_runs(index, range_entries=100)
+    assert merged.rdd.getNumPartitions() >= 9
+    got = [(r.url_key, r.capture_time, r.page_id) for r in merged.collect()]
+    assert got == sorted(got) and len(got) == 900
+    assert len({r.archive for r in merged.collect()}) == len(files)
+
+
+def test_control_characters_in_urls(spark):
+    url = "http://a.org/" + "".join(map(chr, [1, 9, 10, 13, 27, 31, 127])) + "%41 z"
+    got = capture_histories(spark.createDataFrame([(1, url, "x")], "page_id long, url string, html string")).first()
+    assert got.url == url
+
+
 def test_empty_table(spark):
     assert capture_histories(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
