@@ -12,7 +12,8 @@ fingerprint bits differ, too many for a guarantee from 64 bits; so here
   surely), at the least estimated cost for as many fingerprints as there are;
 - a pair that meets in a bucket is a candidate if two words of the fingerprints together
   differ in no more bits than similar texts' do, which unrelated texts practically never pass;
-  before the texts are compared, all words are.
+  before the texts are compared, all words are, and bitmaps of the sets (a bit is set if an odd
+  number of shingles falls on it), which differ in no more bits than the sets do in shingles.
 
 Scale. Texts with the same words fold into one node first. Buckets are streamed and
 give stars over the candidates in them, never all pairs. Crowded buckets, such as those of
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import materialise, scratch_scope, trim_memory
-from gleaner.llm.components import connected_components
+from gleaner.llm.components import FEW, connected_components
 from gleaner.llm.simhash_gph import Partition, allocate, bit_moments, bucket_links, masks_of, mix, shingle_hashes, whole_buckets
 
 SHARE, SHINGLE = Fraction(4, 5), 5
@@ -50,6 +51,8 @@ WORDS, RECALL = 8, 0.97
 CROWDED = 4096
 #: Index entries of a fingerprint that are on disk at a time.
 SLICE = 32
+#: Longs of a set's bitmap.
+MAP = 16
 #: Nodes that are broadcast to pick their texts, so that the texts aren't shuffled; beyond it they are.
 PICKED = 2_000_000
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -82,6 +85,12 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle, 42))
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """MAP longs in which a bit is set if an odd number of the set's hashes falls on it."""
+    odd = np.bincount((own % np.uint64(64 * MAP)).astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def flip_share(share: Fraction) -> float:
     """The expected share of fingerprint bits in which sets of one size differ at a Jaccard similarity."""
     return acos(float(2 * share / (1 + share))) / pi
@@ -114,9 +123,18 @@ def _apart(a: str, b: str) -> Column:
     return sum(F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in (1, 2))
 
 
-def _far(a: str, b: str, words: int) -> Column:
-    """In how many bits the fingerprints differ."""
-    return sum(F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(words))
+def _may_link(a: str, b: str, words: int, share: Fraction) -> Column:
+    """Whether the fingerprints, sizes and bitmaps of two nodes leave room for the similarity. Columns: fp, map and n, with the
+    prefixes a and b."""
+    apart = lambda c, size: sum(F.bit_count(F.col(f"{a}{c}")[k].bitwiseXOR(F.col(f"{b}{c}")[k])) for k in range(size))
+    room = (F.col(f"{a}n") + F.col(f"{b}n")) * (share.denominator - share.numerator)
+    return (apart("fp", words) <= check_limit(share, 64 * words)) & (apart("map", MAP) * (share.denominator + share.numerator) <= room)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df as a table of its own; broadcast if its rows, which are counted, are few."""
+    made = materialise(df, "small")
+    return F.broadcast(made) if made.count() <= FEW else made
 
 
 def _members(nodes: DataFrame, masks: list[tuple[int, int]], limit: int) -> tuple[DataFrame, DataFrame]:
@@ -156,7 +174,7 @@ def _members(nodes: DataFrame, masks: list[tuple[int, int]], limit: int) -> tupl
         full = index.join(crowded, "token", "left_semi")
         hub = F.min(F.struct("node", "c1", "c2"))  # as in light buckets the smallest, so that buckets agree on it
         hubs = full.groupBy("token").agg(hub.alias("h")).select("token", F.col("h.node").alias("hub"), F.col("h.c1").alias("h1"), F.col("h.c2").alias("h2"))
-        full = materialise(full.join(hubs, "token").select("token", "node", "c1", "c2", F.when(_apart("c", "h") <= limit, F.col("hub")).alias("head")), "full", outer=True)
+        full = materialise(full.join(_small(hubs), "token").select("token", "node", "c1", "c2", F.when(_apart("c", "h") <= limit, F.col("hub")).alias("head")), "full", outer=True)
     made = light.repartition("token").sortWithinPartitions("token", "node").mapInPandas(stars, f"{kind}, head long")
     made = materialise(made, "members", outer=True)
     return made, made.limit(0) if full is None else full
@@ -212,7 +230,7 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, share: Fraction = SHARE, recall: float = RECALL, rounds: int = 8) -> DataFrame:
-    """node, root of the nodes that links connect. nodes: node, fp and _h, each node once; texts: _h, text."""
+    """node, root of the nodes that links connect. nodes: node, fp, map, n and _h, each node once; texts: _h, text."""
     words = len((nodes.select("fp").first() or [[0] * WORDS])[0])
     n, both = bit_moments(nodes, words)
     limit = check_limit(share)
@@ -225,8 +243,7 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sh
     for light, full in made[1:]:
         members = members.unionByName(light).unionByName(full)
     families = materialise(connected_components(members.where("head <> node").select(F.col("node").alias("u"), F.col("head").alias("v"))), "families").withColumnRenamed("root", "family")
-    whole, far = check_limit(share, 64 * words), lambda a, b: _far(a, b, words)
-    state = materialise(families.join(nodes.select("node", "fp", "_h"), "node").withColumn("root", F.col("node")), "state")
+    state = materialise(families.join(nodes, "node").withColumn("root", F.col("node")), "state")
     exact, tested = _Texts(texts, shingle, share), []
     exact.add(state.select("node", "_h"))
     roots = state.select("node", "root").limit(0)  # of the nodes that have links
@@ -257,20 +274,23 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sh
     for turn in range(rounds):
         inside = rooted(state.drop("root"), "node", "root")
         open_ = inside.groupBy("family").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("family")
-        inside = materialise(inside.join(open_, "family"), "inside")
+        inside = materialise(inside.join(_small(open_), "family"), "inside")
         # the hub: of the root that the hash of this turn puts first
-        hub = F.min_by(F.struct("node", "fp", "root"), F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node"), "node"))
-        hubs = inside.groupBy("family").agg(hub.alias("h")).select("family", *[F.col(f"h.{c}").alias(t) for c, t in (("node", "hub"), ("fp", "hub_fp"), ("root", "hub_root"))])
-        pairs = untested(inside.join(hubs, "family").where((F.col("root") != F.col("hub_root")) & (far("fp", "hub_fp") <= whole)).select(*_pair("node", "hub")))
+        hub = F.min_by(F.struct("node", "fp", "map", "n", "root"), F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node"), "node"))
+        hubs = _small(inside.groupBy("family").agg(hub.alias("h")).select("family", *[F.col(f"h.{c}").alias(f"hub_{c}") for c in ("node", "fp", "map", "n", "root")]))
+        met = inside.join(hubs, "family").where((F.col("root") != F.col("hub_root")) & _may_link("", "hub_", words, share))
+        pairs = untested(met.select(*_pair("node", "hub_node")))
         load = pairs.count()
         if not load or settle(pairs) * 20 < load:
             break
     # pairs of a bucket or star that links haven't connected: all rows against those outside the largest root there
     rest = rooted(members.select("token", "node").distinct(), "node", "root")
+    rest = materialise(rest, "rest")
     sizes = rest.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "main")
-    rest = materialise(rest.join(sizes, "token").join(nodes.select("node", "fp"), "node"), "rest")
-    other = rest.where("root <> main").select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "fp", "root")])
-    pairs = untested(rest.join(other, "token").where((F.col("root") != F.col("root2")) & (far("fp", "fp2") <= whole)).select(*_pair("node", "node2")).distinct())
+    rest = materialise(rest.join(_small(sizes), "token").join(nodes.select("node", "fp", "map", "n"), "node"), "rest")
+    other = rest.where("root <> main").select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "fp", "map", "n", "root")])
+    met = rest.join(other, "token").where((F.col("root") != F.col("o_root")) & _may_link("", "o_", words, share))
+    pairs = untested(met.select(*_pair("node", "o_node")).distinct())
     if not pairs.isEmpty():
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         exact.add(nodes.select("node", "_h").join(ends, "node", "left_semi"))
@@ -291,17 +311,20 @@ def keep_one_similar(docs: DataFrame, shingle: int = SHINGLE, share: Fraction =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            node, fps = [], []
+            node, fps, maps, sizes = [], [], [], []
             for t in batch[own_text]:
                 t = t if isinstance(t, str) else ""
                 node.append(xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), 7))
-                fps.append(wide_fingerprint(shingle_set(t, shingle), words).view(np.int64))
-            yield pd.DataFrame({"id": batch[own_id], "_h": batch["_h"], "node": np.array(node, np.uint64).view(np.int64), "fp": fps})
+                own = shingle_set(t, shingle)
+                fps.append(wide_fingerprint(own, words).view(np.int64))
+                maps.append(bitmap(own))
+                sizes.append(len(own))
+            yield pd.DataFrame({"id": batch[own_id], "_h": batch["_h"], "node": np.array(node, np.uint64).view(np.int64), "fp": fps, "map": maps, "n": sizes})
         trim_memory()
 
     with scratch_scope(docs.sparkSession):
-        keys = materialise(keyed.select(own_id, "_h", own_text).mapInPandas(run, f"id {kind}, _h long, node long, fp array<long>"), "keys")
-        nodes = materialise(keys.groupBy("node").agg(F.first("fp").alias("fp"), F.min("_h").alias("_h")), "distinct")
+        keys = materialise(keyed.select(own_id, "_h", own_text).mapInPandas(run, f"id {kind}, _h long, node long, fp array<long>, map array<long>, n long"), "keys")
+        nodes = materialise(keys.groupBy("node").agg(F.first("fp").alias("fp"), F.first("map").alias("map"), F.first("n").alias("n"), F.min("_h").alias("_h")), "distinct")
         roots = similar_roots(nodes, keyed.select("_h", F.col(own_text).alias("text")), shingle, share, recall)
         rooted = keys.select("id", "_h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_h")).alias("best"))
