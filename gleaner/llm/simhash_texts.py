@@ -15,12 +15,12 @@ fingerprint bits differ, too many for a guarantee from 64 bits; so here
   before the texts are compared, all words are, and bitmaps of the sets (a bit is set if an odd
   number of shingles falls on it), which differ in no more bits than the sets do in shingles.
 
-Scale. Texts with the same words fold into one node first. Buckets are streamed and
-give stars over the candidates in them, never all pairs. Crowded buckets, such as those of
-a hot family of copies, aren't gathered: joins, which can be split, pair their members
-with one of them. Stars make families; in each a hub's text is compared with the others,
-and what links to it is done with. Hubs follow as long as much is linked; what is left,
-pairs of a bucket that links haven't connected, is compared in the end.
+Scale. Texts with the same words fold into one node first. Buckets are streamed, and only
+members that are candidates for another are kept, never pairs of them. Crowded buckets, such as
+those of a hot family of copies, aren't gathered but joined, which can be split. In each round
+every bucket has a hub, the member that shares most buckets with others, every node is compared
+with one hub at most, and what links counts as one from then on. Hubs follow as long as much
+is linked; what is left, pairs of a bucket that links haven't connected, is compared in the end.
 
 Edge cases: null and empty texts are alike; texts of fewer words than a shingle are one
 shingle; case and white space make no difference; very long texts are hashed whole, in
@@ -118,11 +118,6 @@ def check_limit(share: Fraction, bits: int = 128) -> int:
     return ceil(bits * flip + 3.5 * sqrt(bits * flip * (1 - flip)))
 
 
-def _apart(a: str, b: str) -> Column:
-    """In how many bits the check words differ."""
-    return sum(F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in (1, 2))
-
-
 def _may_link(a: str, b: str, words: int, share: Fraction) -> Column:
     """Whether the fingerprints, sizes and bitmaps of two nodes leave room for the similarity. Columns: fp, map and n, with the
     prefixes a and b."""
@@ -137,9 +132,9 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(made) if made.count() <= FEW else made
 
 
-def _members(nodes: DataFrame, masks: list[tuple[int, int]], limit: int) -> tuple[DataFrame, DataFrame]:
-    """token, node, c1, c2, head: the members of candidate stars in light buckets, with the head of their star; and of all
-    rows in crowded buckets, with their hub (null where it is too far). masks: word, mask."""
+def _members(nodes: DataFrame, masks: list[tuple[int, int]], limit: int) -> list[DataFrame]:
+    """token, node: of light buckets the members that are candidates for another, by the stars they make; of crowded ones all.
+    masks: word, mask."""
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,24 +155,19 @@ def _members(nodes: DataFrame, masks: list[tuple[int, int]], limit: int) -> tupl
                 return out
 
             at, head = bucket_links(keys, near)
-            rows = np.concatenate([at, np.unique(head)])
-            heads = node[np.concatenate([head, np.unique(head)])]
-            yield pd.DataFrame({"token": keys[rows] ^ mix(heads.view(np.uint64), np.full(len(rows), 2**64 - 1, np.uint64)), "node": node[rows], "c1": c1[rows], "c2": c2[rows], "head": heads})
+            heads = np.unique(head)
+            rows, own = np.concatenate([at, heads]), node[np.concatenate([head, heads])]
+            yield pd.DataFrame({"token": keys[rows] ^ mix(own.view(np.uint64), np.full(len(rows), 2**64 - 1, np.uint64)), "node": node[rows]})
         trim_memory()
 
-    kind = "token long, node long, c1 long, c2 long"
-    index = materialise(nodes.select("node", "fp").mapInPandas(entries, kind), "index")
+    index = materialise(nodes.select("node", "fp").mapInPandas(entries, "token long, node long, c1 long, c2 long"), "index")
     crowded = materialise(index.groupBy("token").count().where(F.col("count") > CROWDED).select("token"), "crowded")
-    light, full = index, None
+    light, out = index, []
     if not crowded.isEmpty():
         light = index.join(crowded, "token", "left_anti")
-        full = index.join(crowded, "token", "left_semi")
-        hub = F.min(F.struct("node", "c1", "c2"))  # as in light buckets the smallest, so that buckets agree on it
-        hubs = full.groupBy("token").agg(hub.alias("h")).select("token", F.col("h.node").alias("hub"), F.col("h.c1").alias("h1"), F.col("h.c2").alias("h2"))
-        full = materialise(full.join(_small(hubs), "token").select("token", "node", "c1", "c2", F.when(_apart("c", "h") <= limit, F.col("hub")).alias("head")), "full", outer=True)
-    made = light.repartition("token").sortWithinPartitions("token", "node").mapInPandas(stars, f"{kind}, head long")
-    made = materialise(made, "members", outer=True)
-    return made, made.limit(0) if full is None else full
+        out = [materialise(index.join(crowded, "token", "left_semi").select("token", "node"), "full", outer=True)]
+    made = light.repartition("token").sortWithinPartitions("token", "node").mapInPandas(stars, "token long, node long")
+    return [*out, materialise(made, "members", outer=True)]
 
 
 class _Texts:
@@ -229,38 +219,41 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, share: Fraction = SHARE, recall: float = RECALL, rounds: int = 8) -> DataFrame:
+def similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, share: Fraction = SHARE, recall: float = RECALL, rounds: int = 6) -> DataFrame:
     """node, root of the nodes that links connect. nodes: node, fp, map, n and _h, each node once; texts: _h, text."""
     words = len((nodes.select("fp").first() or [[0] * WORDS])[0])
     n, both = bit_moments(nodes, words)
     limit = check_limit(share)
     masks = [(p.word, int(m)) for p in plan(n, both, share, recall) for m in masks_of([p])]
-    made = []
+    members: list[DataFrame] = []
     for k in range(0, len(masks), SLICE):
         with scratch_scope(nodes.sparkSession):
-            made.append(_members(nodes, masks[k : k + SLICE], limit))
-    members = made[0][0].unionByName(made[0][1])
-    for light, full in made[1:]:
-        members = members.unionByName(light).unionByName(full)
-    families = materialise(connected_components(members.where("head <> node").select(F.col("node").alias("u"), F.col("head").alias("v"))), "families").withColumnRenamed("root", "family")
-    state = materialise(families.join(nodes, "node").withColumn("root", F.col("node")), "state")
+            members += _members(nodes, masks[k : k + SLICE], limit)
+    met = members[0]
+    for more in members[1:]:
+        met = met.unionByName(more)
+    met = materialise(met.distinct(), "met")
+    weight = met.join(_small(met.groupBy("token").count()), "token").groupBy("node").agg(F.sum("count").alias("weight"))
+    entries = materialise(met.join(weight, "node").join(nodes.select("node", "fp", "map", "n"), "node"), "entries")
     exact, tested = _Texts(texts, shingle, share), []
-    exact.add(state.select("node", "_h"))
-    roots = state.select("node", "root").limit(0)  # of the nodes that have links
+    roots = entries.select("node", F.col("node").alias("root")).limit(0)  # of the nodes that have links
 
     def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
         own = roots.select(F.col("node").alias(node), F.col("root").alias(root))
         return df.join(own, node, "left").withColumn(root, F.coalesce(root, node))
 
     def untested(pairs: DataFrame) -> DataFrame:
-        for done in tested:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        return materialise(pairs, "pairs")
+        done = tested[0] if tested else None
+        for more in tested[1:]:
+            done = done.unionByName(more)
+        return materialise(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
 
     def settle(pairs: DataFrame) -> int:
         """Tests pairs and merges the roots of those that link; how many do."""
         nonlocal roots
         tested.append(pairs)
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        exact.add(nodes.select("node", "_h").join(_small(ends), "node", "left_semi"))
         found = exact.similar(pairs)
         grown = found.count()
         if grown:
@@ -271,29 +264,38 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sh
             roots = materialise(old.unionByName(new), "roots")
         return grown
 
-    for turn in range(rounds):
-        inside = rooted(state.drop("root"), "node", "root")
-        open_ = inside.groupBy("family").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("family")
-        inside = materialise(inside.join(_small(open_), "family"), "inside")
-        # the hub: of the root that the hash of this turn puts first
-        hub = F.min_by(F.struct("node", "fp", "map", "n", "root"), F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node"), "node"))
-        hubs = _small(inside.groupBy("family").agg(hub.alias("h")).select("family", *[F.col(f"h.{c}").alias(f"hub_{c}") for c in ("node", "fp", "map", "n", "root")]))
-        met = inside.join(hubs, "family").where((F.col("root") != F.col("hub_root")) & _may_link("", "hub_", words, share))
-        pairs = untested(met.select(*_pair("node", "hub_node")))
-        load = pairs.count()
-        if not load or settle(pairs) * 20 < load:
+    def live() -> DataFrame:
+        """The entries in buckets of several roots."""
+        own = rooted(entries, "node", "root")
+        several = own.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
+        return materialise(own.join(_small(several), "token"), "live")
+
+    kept = ("node", "fp", "map", "n", "weight", "root")
+    first, used = 0, []
+    for _ in range(rounds):
+        own = live()
+        free = own
+        for hubs in used:
+            free = free.join(hubs, "node", "left_anti")
+        hub = F.max_by(F.struct(*kept), F.struct("weight", "node"))
+        hubs = _small(free.groupBy("token").agg(hub.alias("h")).select("token", *[F.col(f"h.{c}").alias(f"hub_{c}") for c in kept]))
+        near = own.join(hubs, "token").where((F.col("root") != F.col("hub_root")) & _may_link("", "hub_", words, share))
+        one = near.groupBy("node").agg(F.max(F.struct("hub_weight", "hub_node")).alias("h"))
+        pairs = untested(one.select("node", F.col("h.hub_node").alias("hub_node")).select(*_pair("node", "hub_node")).distinct())
+        if pairs.isEmpty():
             break
-    # pairs of a bucket or star that links haven't connected: all rows against those outside the largest root there
-    rest = rooted(members.select("token", "node").distinct(), "node", "root")
-    rest = materialise(rest, "rest")
-    sizes = rest.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "main")
-    rest = materialise(rest.join(_small(sizes), "token").join(nodes.select("node", "fp", "map", "n"), "node"), "rest")
-    other = rest.where("root <> main").select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "fp", "map", "n", "root")])
-    met = rest.join(other, "token").where((F.col("root") != F.col("o_root")) & _may_link("", "o_", words, share))
-    pairs = untested(met.select(*_pair("node", "o_node")).distinct())
+        grown, first = settle(pairs), first or pairs.count()
+        if grown * 50 < first:
+            break
+        used.append(_small(hubs.select(F.col("hub_node").alias("node")).distinct()))
+    # pairs of a bucket that links haven't connected: all rows against those outside the largest root there
+    rest = live()
+    sizes = rest.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    rest = materialise(rest.join(_small(sizes), "token"), "rest")
+    other = rest.where("root <> main").select("token", *[F.col(c).alias(f"o_{c}") for c in kept])
+    near = rest.join(other, "token").where((F.col("root") != F.col("o_root")) & _may_link("", "o_", words, share))
+    pairs = untested(near.select(*_pair("node", "o_node")).distinct())
     if not pairs.isEmpty():
-        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        exact.add(nodes.select("node", "_h").join(ends, "node", "left_semi"))
         settle(pairs)
     return roots
 
