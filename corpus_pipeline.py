@@ -24,7 +24,7 @@ from gleaner.llm.common import scratch_path, scratch_scope
 from gleaner.llm.language_filters import UNKNOWN, fit_language_filters, identify_language
 from gleaner.llm.mixing_tree import mix_sources, mixture
 from gleaner.llm.packing_hilbert import pack_along_curve
-from gleaner.llm.quality_repeats import repeat_quality
+from gleaner.llm.quality_repeats import RepeatRules, repeat_quality
 from gleaner.llm.queries import tokenizer_path
 from gleaner.llm.simhash_texts import keep_one_similar
 
@@ -32,6 +32,10 @@ from gleaner.llm.simhash_texts import keep_one_similar
 LEAST_LANGUAGE_SHARE = 0.5
 #: Near-duplicates: texts whose sets of five-word shingles have at least this Jaccard similarity.
 NEAR = Fraction(4, 5)
+#: Shorter texts go. Labels of quality say nothing against texts of under 50 words, the operator's default, so they stay.
+RULES = RepeatRules(min_words=5)
+#: Words that a worker's tokenizer remembers; the stages before leave executors less memory than the operator has alone.
+PACKING_MEMO = 250_000
 
 
 def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -43,7 +47,7 @@ def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are too short or repeat themselves too much."""
     plain, own = _renamed(docs)
-    judged = repeat_quality(plain, id_col=own["doc_id"], text_col=own["text"], carry=tuple(own.values()))
+    judged = repeat_quality(plain, RULES, id_col=own["doc_id"], text_col=own["text"], carry=tuple(own.values()))
     return judged.where("kept").select(*own.values()).toDF(*own)
 
 
@@ -71,7 +75,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
-    pieces = pack_along_curve(docs, tokenizer_path(), end_id=2, length=4096, with_ids=False)
+    pieces = pack_along_curve(docs, tokenizer_path(), end_id=2, length=4096, with_ids=False, memo=PACKING_MEMO)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

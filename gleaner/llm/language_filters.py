@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialise, own_columns
+from gleaner.llm.common import materialise, own_columns, trim_memory
 
 ORDERS = (2, 3, 4)
 PIECE = 1 << 20
@@ -195,5 +195,6 @@ def identify_language(docs: DataFrame, filters: LanguageFilters | LanguageTables
             out = batch[names].copy()
             out["lang_pred"], out["score"] = [x[0] for x in got], np.array([x[1] for x in got], float)
             yield out
+        trim_memory()
 
     return docs.select(*dict.fromkeys([*names, text_col])).mapInPandas(run, f"{fields}, lang_pred string, score double")

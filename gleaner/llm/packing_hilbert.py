@@ -38,7 +38,7 @@ WIDTH, DIMS, ORDER = 1024, 4, 15
 #: Words kept in a worker's memo (about 200 MB with its table); words beyond it are encoded batch by batch.
 _MEMO = 600_000
 #: Documents and characters tokenised at a time.
-_DOCS, _CHARS = 1024, 3_000_000
+_DOCS, _CHARS = 1024, 1_500_000
 #: Texts of these characters only are in normal form and change case one by one, so that their
 #: pretokens can be looked up singly; the classes are those of the tokenizer's own split, after lower-casing.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-įı-ſ]*")
@@ -52,7 +52,7 @@ class WordTokenizer:
     the plain range go to the library whole. ``exact`` turns the memo off.
     """
 
-    def __init__(self, path: str, exact: bool = False):
+    def __init__(self, path: str, exact: bool = False, most: int = _MEMO):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
@@ -61,7 +61,7 @@ class WordTokenizer:
         # a pretoken's last token, and no other, carries the end-of-word mark
         size = self.inner.get_vocab_size()
         self.ends = np.array([(self.inner.id_to_token(k) or "").endswith("</w>") for k in range(size)])
-        self.exact = exact
+        self.exact, self.most = exact, most
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -101,7 +101,7 @@ class WordTokenizer:
                 for i, w in zip(holes, words, strict=True):
                     found[i] = new[w]
                 out[k] = np.frombuffer(b"".join(found), "<u4")
-            if len(self.memo) < _MEMO:
+            if len(self.memo) < self.most:
                 self.memo |= new
         return out
 
@@ -109,11 +109,11 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def worker_tokenizer(path: str) -> WordTokenizer:
+def worker_tokenizer(path: str, memo: int = _MEMO) -> WordTokenizer:
     """One per Python worker, so that its memo lasts over tasks."""
     if path not in _tokenizers:
         trim_memory()
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path, most=memo)
     return _tokenizers[path]
 
 
@@ -178,12 +178,12 @@ def curve_keys(ids: list[np.ndarray], along: np.ndarray) -> np.ndarray:
     return hilbert_keys(cells.astype(np.int64))
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, memo: int = _MEMO) -> DataFrame:
     """id, key, tie, n and the ids as little-endian unsigned 16-bit (32-bit where the vocabulary needs it)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, along = worker_tokenizer(tokenizer_path), projection()
+        tokenizer, along = worker_tokenizer(tokenizer_path, memo), projection()
         for batch in batches:
             texts = batch[text_col].where(batch[text_col].notna(), "")
             for first, last in _slices(texts.str.len().to_numpy(np.int64)):
@@ -206,9 +206,12 @@ def _laid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = int(ends.iloc[-1]) if len(batch) else at
 
 
-def pack_along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row per piece: id, start, length, ids (little-endian unsigned 32-bit; null without with_ids), ids_crc32, doc_tokens, sequence_id, offset."""
-    table = materialise(tokenised(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
+def pack_along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, memo: int = _MEMO) -> DataFrame:
+    """One row per piece: id, start, length, ids (little-endian unsigned 32-bit; null without with_ids), ids_crc32, doc_tokens, sequence_id, offset.
+
+    memo: words whose ids a worker remembers; fewer take less memory and more time.
+    """
+    table = materialise(tokenised(docs, tokenizer_path, end_id, id_col, text_col, memo), "tokens")
     kind = table.schema["id"].dataType.simpleString()
     ordered = table.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "id", "n")
     line = materialise(ordered.mapInPandas(_laid, f"id {kind}, part int, at long, n long, ids binary"), "line")

@@ -27,6 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from gleaner.llm.common import trim_memory
+
 _SPACES = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -183,5 +185,6 @@ def repeat_quality(docs: DataFrame, rules: RepeatRules = RepeatRules(), id_col:
             out = pd.DataFrame(rows, columns=_COLUMNS)
             out["spans"] = [[{"start": a, "end": b} for a, b in x] for x in out["spans"]]
             yield pd.concat([batch[names].reset_index(drop=True), out], axis=1)
+        trim_memory()
 
     return docs.select(*read).mapInPandas(run, f"{fields}, {SCHEMA}")

@@ -5,7 +5,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 pytest.importorskip("public_tokenizers")
-from gleaner.llm.quality_repeats import RepeatRules, assess  # noqa: E402
+from gleaner.llm.quality_repeats import assess  # noqa: E402
 from gleaner.llm.simhash_texts import shingle_set, similar  # noqa: E402
 
 
@@ -36,7 +36,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     columns = ["doc_id", "text", "lang", "source", "n_chars", "score"]
     assert all(out[n].columns == columns for n in ("quality_rules", "language_id", "near_dedup", "mixing"))
     key = lambda r: str(tuple(r))
-    good = [r for r in rows if assess(r[1], RepeatRules())[-1]]
+    good = [r for r in rows if assess(r[1], corpus_pipeline.RULES)[-1]]
     assert sorted(map(key, out["quality_rules"].collect())) == sorted(map(key, good))
     lettered = [r for r in good if any(c.isalpha() for c in r[1])]
     assert sorted(map(key, out["language_id"].collect())) == sorted(map(key, lettered)) and len(lettered) < len(good)
