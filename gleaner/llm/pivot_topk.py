@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import hash_share, materialise
 
-BLOCK, QUERIES, STEP = 1024, 512, 128
+BLOCK, QUERIES, STEP = 4096, 512, 512
 #: Range partitions of blocks to a page, and pages at most.
 PAGE, PAGES = 32, 100_000
 #: Squared norms from which a vector has no cap.
