@@ -15,7 +15,10 @@ A copyright notice is a line that starts with the word or the sign and goes on w
 sign, a year, "by" or a placeholder in brackets; prose that happens to be wrapped before
 "copyright" stays. A notice of a bare holder, without year or sign, isn't told from prose.
 
-Everything is built-in expressions over whole texts. The registry's rows are counted and
+Only parts that hold one of a few words can be in the registry: words, chosen from it, of which
+every entry has one. Other parts are not digested, which changes no result.
+
+Everything is built-in expressions over whole texts, made once and written. The registry's rows are counted and
 broadcast up to ``REGISTRY_ROWS``; beyond it the joins shuffle digests. Only hits are grouped.
 
 Edge cases: a null text has a null digest and no licence; an empty text, or one of
@@ -30,11 +33,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import materialise
+
 REGISTRY_ROWS = 10_000
 # The wording of the licences and of their customary headers and notices.
 #: Spellings that make no difference, as (spelling, the one kept), applied in this order to words between single spaces.
@@ -118,6 +125,21 @@ def registry_rows(registry: list[tuple[str, str]] | None = None) -> list[tuple[s
     return sorted(known.items())
 
 
+def marker_words(texts: list[str]) -> list[str]:
+    """A few words of which each canonical text has one, whatever its spelling before; '' where there is none for a text."""
+    made = {w for pair in EQUIVALENT for half in pair for w in half.split()}
+    left = [{w for w in canonical(t).split() if len(w) > 3 and not any(m in w or w in m for m in made)} for t in texts if canonical(t)]
+    out = []
+    while left:
+        counts = Counter(w for own in left for w in own)
+        if not counts:
+            return [""]
+        best = min(counts, key=lambda w: (-counts[w], w))
+        out.append(best)
+        left = [own for own in left if best not in own]
+    return out
+
+
 def _worded(text: Column) -> Column:
     """Lower-case words and line breaks, without copyright notices."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), NOTICE_LINE, ""), NOT_WORD, " ")
@@ -138,12 +160,14 @@ def _digest(folded: Column) -> Column:
 def licence_scan(docs: DataFrame, registry: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, digest of the whole canonical text, licence_id, matched ('text' if the whole text is
     known, else 'part' if a paragraph or line is), and part_ids: the sorted licences of those, joined by commas ('' for none)."""
-    rows = registry_rows(registry)
+    rows, markers = registry_rows(registry), marker_words([t for _, t in (default_registry() if registry is None else registry)])
+    marked = lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(m)) for m in markers], F.lit(False))
     known = docs.sparkSession.createDataFrame(rows, "known string, known_id string")
     known = F.broadcast(known) if len(rows) <= REGISTRY_ROWS else known
     worded = docs.select(F.col(id_col).alias("_id"), _worded(F.col(text_col)).alias("_worded"))
-    parts = F.filter(F.array_distinct(F.concat(F.split("_worded", "\n"), F.split("_worded", r"\n[ \n]*\n"))), lambda p: F.length(F.trim(p)) > 0)
-    scanned = worded.select("_id", _digest(_folded(F.col("_worded"))).alias("digest"), F.transform(parts, lambda p: _digest(_folded(p))).alias("_parts"))
+    parts = F.filter(F.array_distinct(F.concat(F.split("_worded", "\n"), F.split("_worded", r"\n[ \n]*\n"))), marked)
+    digests = F.when(marked(F.col("_worded")), F.transform(parts, lambda p: _digest(_folded(p)))).otherwise(F.array().cast("array<string>"))
+    scanned = materialise(worded.select("_id", _digest(_folded(F.col("_worded"))).alias("digest"), digests.alias("_parts")), "digests")
     # rows of one id and one text have the same parts, so hits are kept by both
     hits = scanned.select(F.col("_id").alias("hit_id"), F.col("digest").alias("hit_digest"), F.explode("_parts").alias("part")).join(known, F.col("part") == F.col("known"))
     found = hits.groupBy("hit_id", "hit_digest").agg(F.array_sort(F.collect_set("known_id")).alias("ids"))

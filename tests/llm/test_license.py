@@ -2,7 +2,7 @@ import textwrap
 
 import pytest
 
-from gleaner.llm.license_digests import NOTICES, SHORT, canonical, default_registry, digest_of, licence_scan, long_licences
+from gleaner.llm.license_digests import NOTICES, SHORT, canonical, default_registry, digest_of, licence_scan, long_licences, marker_words
 
 TEXTS = {i: text for i, _, text in SHORT} | dict(long_licences())
 
@@ -65,3 +65,10 @@ def test_edge_cases(spark):
 def test_expressions_agree_with_python(spark, pair):
     got = scan(spark, [(1, pair[1], 0)])[1]
     assert got.digest == digest_of(pair[1]) and got.licence_id is not None
+
+
+def test_every_entry_has_a_marker():
+    texts = [t for _, t in default_registry()]
+    words = marker_words(texts)
+    assert 0 < len(words) < 12 and all(any(w in t.lower() for w in words) for t in texts)
+    assert marker_words(["licence"]) == [""] and marker_words([]) == []
