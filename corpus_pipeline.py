@@ -34,8 +34,8 @@ LEAST_LANGUAGE_SHARE = 0.5
 NEAR = Fraction(4, 5)
 #: Shorter texts go. Labels of quality say nothing against texts of under 50 words, the operator's default, so they stay.
 RULES = RepeatRules(min_words=5)
-#: Words that a worker's tokenizer remembers; the stages before leave executors less memory than the operator has alone.
-PACKING_MEMO = 250_000
+#: Words that a worker's tokenizer remembers, and characters it takes at a time; the stages before leave executors less memory than the operator has alone.
+PACKING_MEMO, PACKING_CHARS = 250_000, 1_500_000
 
 
 def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -75,7 +75,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
-    pieces = pack_along_curve(docs, tokenizer_path(), end_id=2, length=4096, with_ids=False, memo=PACKING_MEMO)
+    pieces = pack_along_curve(docs, tokenizer_path(), end_id=2, length=4096, with_ids=False, memo=PACKING_MEMO, chars=PACKING_CHARS)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

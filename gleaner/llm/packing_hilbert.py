@@ -38,7 +38,7 @@ WIDTH, DIMS, ORDER = 1024, 4, 15
 #: Words kept in a worker's memo (about 200 MB with its table); words beyond it are encoded batch by batch.
 _MEMO = 600_000
 #: Documents and characters tokenised at a time.
-_DOCS, _CHARS = 1024, 1_500_000
+_DOCS, _CHARS = 1024, 3_000_000
 #: Texts of these characters only are in normal form and change case one by one, so that their
 #: pretokens can be looked up singly; the classes are those of the tokenizer's own split, after lower-casing.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-įı-ſ]*")
@@ -124,10 +124,10 @@ def _forget() -> None:
         trim_memory()
 
 
-def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+def _slices(sizes: np.ndarray, most: int = _CHARS) -> Iterator[tuple[int, int]]:
     first, chars = 0, 0
     for k, n in enumerate(sizes.tolist()):
-        if k > first and (chars + n > _CHARS or k - first >= _DOCS):
+        if k > first and (chars + n > most or k - first >= _DOCS):
             yield first, k
             first, chars = k, 0
         chars += n
@@ -178,7 +178,7 @@ def curve_keys(ids: list[np.ndarray], along: np.ndarray) -> np.ndarray:
     return hilbert_keys(cells.astype(np.int64))
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, memo: int = _MEMO) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, memo: int = _MEMO, chars: int = _CHARS) -> DataFrame:
     """id, key, tie, n and the ids as little-endian unsigned 16-bit (32-bit where the vocabulary needs it)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -186,7 +186,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
         tokenizer, along = worker_tokenizer(tokenizer_path, memo), projection()
         for batch in batches:
             texts = batch[text_col].where(batch[text_col].notna(), "")
-            for first, last in _slices(texts.str.len().to_numpy(np.int64)):
+            for first, last in _slices(texts.str.len().to_numpy(np.int64), chars):
                 ids = [np.append(x, np.uint32(end_id)) for x in tokenizer.encode(texts.iloc[first:last].tolist())]
                 yield pd.DataFrame({"id": batch[id_col].iloc[first:last].to_numpy(), "key": curve_keys(ids, along), "n": [len(x) for x in ids], "ids": [(x.astype("<u2") if x.max() < 65536 else x.astype("<u4")).tobytes() for x in ids]})
 
@@ -206,12 +206,12 @@ def _laid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = int(ends.iloc[-1]) if len(batch) else at
 
 
-def pack_along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, memo: int = _MEMO) -> DataFrame:
+def pack_along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, memo: int = _MEMO, chars: int = _CHARS) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32-bit; null without with_ids), ids_crc32, doc_tokens, sequence_id, offset.
 
-    memo: words whose ids a worker remembers; fewer take less memory and more time.
+    memo, chars: words whose ids a worker remembers, and characters it tokenises at a time; fewer take less memory and more time.
     """
-    table = materialise(tokenised(docs, tokenizer_path, end_id, id_col, text_col, memo), "tokens")
+    table = materialise(tokenised(docs, tokenizer_path, end_id, id_col, text_col, memo, chars), "tokens")
     kind = table.schema["id"].dataType.simpleString()
     ordered = table.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "id", "n")
     line = materialise(ordered.mapInPandas(_laid, f"id {kind}, part int, at long, n long, ids binary"), "line")
