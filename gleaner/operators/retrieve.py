@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.vectors import maxsim, sparse_dot
+
 #: So many queries travel with the tasks; more are dealt in parts.
 SMALL_QUERIES = 4096
 
@@ -256,3 +258,26 @@ def pipeline(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame],
         return df
 
     return run
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int = 3, prefilter: int = 50, alpha: float | None = 0.6, scorer: Callable[[Column, Column], Column] | None = None, late: bool = False, window: int = 10) -> DataFrame:
+    """qid, rank, cid, score by stages: dense prefilter, hybrid (alpha None: left out), then re-ranking by a scorer of both
+    texts or by late interaction over the first max(window, k), but not by both.
+
+    queries: qid, text, enc; corpus: cid, text, enc, where enc is a struct<dense, sparse, tokens>.
+    """
+    if scorer is not None and late:
+        raise ValueError("a scorer and late interaction exclude each other")
+    dense = lambda df, key: df.select(key, F.col("enc.dense").alias("vec"))
+    own = lambda df, key, p: df.select(key, *[F.col(c).alias(f"{p}_{n}") for n, c in (("text", "text"), ("sparse", "enc.sparse"), ("tokens", "enc.tokens"))])
+    hits = top_k(dense(queries, "qid"), dense(corpus, "cid"), max(k, prefilter))
+    hits = hits.join(own(corpus, "cid", "c"), "cid").join(own(queries, "qid", "q"), "qid")
+    steps = []
+    if alpha is not None:
+        steps.append(lambda df: hybrid(df, F.col("score"), sparse_dot(F.col("q_sparse"), F.col("c_sparse")), alpha))
+    if scorer is not None:
+        steps.append(lambda df: rerank(df, scorer(F.col("q_text"), F.col("c_text")), window, k))
+    elif late:
+        both = (F.size("q_tokens") > 0) & (F.size("c_tokens") > 0)
+        steps.append(lambda df: rerank(df, F.when(both, F.round(maxsim(F.col("q_tokens"), F.col("c_tokens")), 6)).otherwise(0.0), window, k))
+    return pipeline(*steps)(hits).where(F.col("rank") <= k).select("qid", "rank", "cid", "score")

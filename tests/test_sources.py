@@ -124,6 +124,8 @@ def test_dev_and_final(spark, tmp_path):
     assert all((tmp_path / "out" / n).exists() for n in ("grid_dev", "t1_view", "t2_view", "dev_report", "dev_candidates"))
     scores = commands.final(spark, f"{data}/labels.csv", data, out, [(0.7, 0.6)], sentence_labels=f"{data}/need.csv", draws=50)
     assert {(r.split, r.correct, r.false_pass) for r in scores.collect()} == {("dev", 1.0, 0.0), ("test", 1.0, 0.0)}
+    report = [r.value for r in spark.read.text(f"{out}/final_report").collect()]
+    assert any(x.startswith("| 0.70 | 0.60 | 0.000 (0.000 to 0.000) | 0.000 | 100.0% | 0.0%") for x in report) and any("border: 0" in x for x in report)
     with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
         commands.final(spark, f"{data}/labels.csv", data, out, [(0.7, 0.6)], draws=50)
     with pytest.raises(ValueError, match="at most"):
@@ -174,3 +176,140 @@ def test_nothing_else_imports_the_training_data_package():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any(n.startswith(("gleaner.llm", "corpus_pipeline")) for n in names), path
+
+
+def test_encoded_texts_and_stages(spark):
+    from gleaner.functions.models import ModelSpec, encode_column
+    from gleaner.operators import retrieve
+
+    corpus = spark.createDataFrame([(1, "reset my password"), (2, "reset the router"), (3, "pay a bill"), (4, "")], "cid int, text string")
+    q = spark.createDataFrame([(7, "password reset"), (8, "")], "qid int, text string")
+    enc = lambda df, key: df.select(key, "text", encode_column(F.col("text"), ModelSpec("hashed"), late=True).alias("enc"))
+    c, a = enc(corpus, "cid").persist(), enc(q, "qid").persist()
+    one = a.where("qid = 7").first().enc
+    assert one.sparse == {"password": 0.5, "reset": 0.5} and len(one.tokens) == 2 and len(one.dense) == 256
+    assert a.where("qid = 8").first().enc.sparse == {}
+    for more in ({"alpha": None}, {}, {"late": True}, {"scorer": lambda x, y: F.when(y.contains("password"), 1.0).otherwise(0.0)}):
+        hits = retrieve.search(a, c, k=2, **more).where("qid = 7").orderBy("rank").collect()
+        assert [h["rank"] for h in hits] == [1, 2] and hits[0].cid == 1
+    mixed = retrieve.search(a, c, k=1).where("qid = 7").first().score
+    dense = retrieve.search(a, c, k=1, alpha=None).where("qid = 7").first().score
+    assert mixed == pytest.approx(0.6 * dense + 0.4 * (2 * 0.5 / 3), abs=1e-5)
+    with pytest.raises(ValueError, match="exclude"):
+        retrieve.search(a, c, scorer=lambda x, y: F.lit(0.0), late=True)
+
+
+def test_http_embedder_and_registry():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from gleaner.functions.models import REGISTRY, ModelSpec, build_embedder
+
+    class Service(BaseHTTPRequestHandler):
+        def _say(self, what):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(what).encode())
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self._say({"embeddings": [[float(len(t)), 1.0] for t in body["input"]]})
+
+        def do_GET(self):
+            self._say({"models": [{"name": "m", "size": 42}]})
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    model = build_embedder(ModelSpec("m", "http", options={"url": f"{root}/embed", "loaded_url": f"{root}/ps", "batch": 2}))
+    assert model.embed_batch(["a", "bb", "ccc"]) == [[1.0, 1.0], [2.0, 1.0], [3.0, 1.0]] and model.memory_usage() == "42"
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(OSError):
+        model.embed_batch(["a"])
+    assert len(REGISTRY) == 5 and {s.style for s in REGISTRY} == {"none", "prefix", "prompt_name", "method"}
+
+
+def test_runs_have_numbers_and_details(spark, workbook, tmp_path):
+    b = str(tmp_path / "b")
+    for _ in range(2):
+        got = commands.model_benchmark(spark, workbook, b, [commands.ModelSpec("m"), commands.ModelSpec("gone", "sentence_transformers", options={"hf_id": "x"})], "FAQ", {"Easy": "E", "Hard": "H"}).collect()
+    assert {r.run for r in spark.read.parquet(b).collect()} == {1, 2} and {r.model for r in got} == {"m"}
+    whole = [r for r in got if r.category == "전체"]
+    assert whole[0].avg_latency > 0 and all(r.avg_latency is None for r in got if r.category != "전체")
+    detail = spark.read.parquet(f"{b}_detail").collect()
+    assert sorted((r.run, r.qid, r.gt_rank) for r in detail) == [(n, t, 1) for n in (1, 2) for t in ("T1", "T2", "T9")]
+
+
+def test_rerankers(spark, workbook, tmp_path):
+    from gleaner.functions.models import SCORERS, ModelSpec
+
+    class Reverse:
+        """Prefers texts that don't share words with the query."""
+
+        def __init__(self, spec):
+            pass
+
+        def predict(self, pairs):
+            return [-float(len(set(q.split()) & set(t.split()))) for q, t in pairs]
+
+    SCORERS["reverse"] = Reverse
+    try:
+        out = str(tmp_path / "r")
+        got = commands.rerankers(spark, workbook, out, [(2, 2), (2, 1)], "FAQ", {"Easy": "E", "Hard": "H"}, scorers=[ModelSpec("lexical", "lexical"), ModelSpec("reverse", "reverse"), ModelSpec("none", "nothing")]).collect()
+    finally:
+        del SCORERS["reverse"]
+    at = {(r.reranker, r.final_k, r.category): r for r in got}
+    assert {r.reranker for r in got} == {"lexical", "reverse"}
+    same, turned, cut = at["lexical", 2, "전체"], at["reverse", 2, "전체"], at["reverse", 1, "전체"]
+    assert (same.n, same.baseline_top1, same.reranked_top1, same.n_unchanged) == (3, 1.0, 1.0, 3)
+    assert turned.reranked_top1 < 1 and turned.n_worsened > 0 and cut.n_worsened == turned.n_worsened
+    assert turned.avg_rerank_latency_sec >= 0 and turned.avg_embed_latency_sec >= 0 and at["reverse", 2, "E"].avg_rerank_latency_sec is None
+    lines = [r.value for r in spark.read.text(f"{out}_log").collect()]
+    assert len(lines) == 12 and all(x.startswith("run 1 | ") and " -> " in x for x in lines)
+
+
+def test_collect_scores(spark, tmp_path):
+    from gleaner.functions.models import EMBEDDERS, HashedEmbedder, ModelSpec
+
+    class Picky(HashedEmbedder):
+        def embed_batch(self, texts, mode="passage"):
+            if any("fail" in t for t in texts):
+                raise RuntimeError("refused")
+            return super().embed_batch(texts, mode)
+
+    rows = [(1, 10, "FAQ", "Reset?", "reset my password", "Open settings. Press reset password!", 3, None), (1, 11, "FAQ", "Reset?", "forgot password", "Open settings. Press reset password!", 3, None), (2, 12, "FAQ", "Pay?", "pay the bill", "Use a card.", 1, None), (3, 13, "FAQ", "Old?", "reset my password", "Gone.", 9, "2020-01-01")]
+    faqs = spark.createDataFrame(rows, "faq_id long, variant_id long, intent string, question string, variant_question string, answer string, version long, deleted_at string")
+    (tmp_path / "q.csv").write_text("id,question\nQ1,reset my password\nQ2,please fail\n,no id\nQ3,pay the bill\n")
+    said, out = [], str(tmp_path / "out")
+    EMBEDDERS["picky"] = Picky
+    try:
+        commands.collect_scores(spark, str(tmp_path / "q.csv"), faqs, out, ModelSpec("picky", "picky"), k=2, alive="deleted_at is null", warn=said.append)
+    finally:
+        del EMBEDDERS["picky"]
+    read = lambda n: files.read_text_csv(spark, f"{out}/{n}.csv")
+    got = [(r.qid, r["rank"], r.faq_id, r.variant_id) for r in read("candidates").orderBy("qid", "rank").collect()]
+    assert got[0] == ("Q1", "1", "1", "10") and ("Q3", "1", "2", "12") in got and len(got) == 4
+    assert read("candidates").where("qid = 'Q1' and rank = 1").first().similarity == "1.0"
+    sent = {(r.qid, r.faq_id, r.sentence_idx): r.sentence for r in read("sentences").collect()}
+    assert sent["Q1", "1", "0"] == "Open settings." and sent["Q1", "1", "1"] == "Press reset password!" and len(sent) == 6
+    assert {r.faq_id for r in read("faq_catalog").collect()} == {"1", "2"}
+    assert [(r.qid, r.error) for r in read("errors").collect()] == [("Q2", "RuntimeError: refused")] and said == ["1 questions failed"]
+    meta = [r.value for r in spark.read.text(f"{out}/meta").collect()]
+    assert "n=3, ok=2, failed=1" in meta and "before: n=3, max_id=2, sum_version=7" in meta and meta[-1] == "changed=no"
+    assert spark.table("faq_vectors").count() == 3
+
+
+def test_every_command_parses():
+    p = commands.parser().parse_args
+    book = ["--xlsx", "x", "--query-sheet", "S=c", "--output", "o"]
+    assert p(["rerank", *book]).top_k == [3, 5, 10, 15, 20] and p(["rerankbuffer", *book]).buffer == [0, 5, 10, 15]
+    assert p(["benchmark", *book, "--models", "a, b"]).models == ["a", "b"]
+    assert p(["cluster", "--xlsx", "x", "--sheet", "s", "--output", "o"]).min_cluster_size == [2, 3, 4, 5, 6]
+    a = p(["intents", "--groups", "g.json"])
+    assert (a.k, a.prefilter_n, a.hybrid_alpha, a.thresholds) == (3, 50, 0.6, "0.30:0.90:0.02")
+    assert p(["collect", "--questions", "q", "--faqs", "f", "--out", "o"]).k == 10
