@@ -526,12 +526,21 @@ def cluster_counts(spark, sf):
     return cluster.cluster_counts(t).select("n_clusters", "n_noise", *_r("avg_probability"))
 
 
-@query()
+# each profile's questions one by one, the groups so far as a list of their sums
+_ARRIVALS = """WITH RECURSIVE e AS (SELECT vec_id % 5 AS profile, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY vec_id % 5 ORDER BY vec_id) AS pos FROM embeddings),
+    g AS (SELECT profile, pos, id, [v] AS sums, 0 AS group_id, CAST(1 AS DOUBLE) AS similarity, false AS joined FROM e WHERE pos = 1
+        UNION ALL SELECT profile, pos, id, CASE WHEN best >= 0.3 THEN list_transform(sums, lambda s, i: CASE WHEN i = spot THEN list_transform(list_zip(s, v), lambda z: z[1] + z[2]) ELSE s END) ELSE list_append(sums, v) END,
+            CASE WHEN best >= 0.3 THEN spot - 1 ELSE len(sums) END, CASE WHEN best >= 0.3 THEN best ELSE 1 END, best >= 0.3
+        FROM (SELECT *, list_max(sims) AS best, list_position(sims, list_max(sims)) AS spot FROM (SELECT e.profile, e.pos, e.id, e.v, g.sums, list_transform(g.sums, lambda s: list_cosine_similarity(s, e.v)) AS sims FROM g JOIN e ON e.profile = g.profile AND e.pos = g.pos + 1)))
+    SELECT profile, id, CAST(group_id AS INTEGER) AS group_id, round(similarity, 6) AS similarity, joined FROM g"""
+
+
+@query(_ARRIVALS)
 def nearest_centroid_groups(spark, sf):
     from gleaner.streaming.grouping import group_in_order
 
     e = lab.table(spark, sf, "embeddings").select((F.col("vec_id") % 5).alias("profile"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
-    return group_in_order(e, threshold=0.3)
+    return group_in_order(e, threshold=0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 # --- serving, run logs, models
@@ -606,9 +615,7 @@ def faq_corpus(spark, sf):
     return corpus(rows)
 
 
-
-
-@query()
+@query(_ARRIVALS)
 def nearest_centroid_stream(spark, sf):
     """The grouping as a stream over the same rows, run until it has read them all."""
     import uuid
@@ -622,4 +629,4 @@ def nearest_centroid_stream(spark, sf):
     e = spark.readStream.schema(schema).parquet(f"{sf}/embeddings.parquet*").select((F.col("vec_id") % 5).alias("profile"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("vec"))
     grouped = group_stream(e, threshold=0.3)
     grouped.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(grouped.schema).parquet(f"{root}/out")
+    return spark.read.schema(grouped.schema).parquet(f"{root}/out").withColumn("similarity", F.round("similarity", 6))
