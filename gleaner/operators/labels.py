@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,12 +75,22 @@ def merge_questions(parts: list[tuple[str, DataFrame]], text: str = "question",
 
 
 def split_dev_test(labels: DataFrame, seed: str = SEED, ratio: float = 0.6, strata: tuple[str, ...] = ("intended_group", "final_label"), id_col: str = "id") -> DataFrame:
-    """labels with split: in each stratum the first round(ratio * n) ids by the SHA-1 of 'seed:id' are dev."""
-    key = seeded_order(seed, F.col(id_col))
-    w = Window.partitionBy(*strata)
-    place = F.row_number().over(w.orderBy(key, F.col(id_col)))
-    n = F.count(F.lit(1)).over(w)
-    return labels.withColumn("split", F.when(place <= F.bround(ratio * n), "dev").otherwise("test"))
+    """labels with split: in each stratum the first round(ratio * n) ids by the SHA-1 of 'seed:id' are dev.
+
+    No stratum is sorted in one task: rows are counted in 65,536 ranges of the hash, the counts tell the range in which a
+    stratum is cut, and rows are numbered inside their range alone. Null strata are strata of their own.
+    """
+    keyed = labels.withColumn("_key", seeded_order(seed, F.col(id_col))).withColumn("_range", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int"))
+    whole = Window.partitionBy(*strata)
+    upto, goal = F.sum("count").over(whole.orderBy("_range")), F.bround(ratio * F.sum("count").over(whole))
+    counts = keyed.groupBy(*strata, "_range").count().withColumns({"_before": upto - F.col("count"), "_goal": goal})
+    cuts = counts.where((F.col("_before") < F.col("_goal")) & (F.col("_before") + F.col("count") >= F.col("_goal")))
+    cuts = cuts.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(strata)], F.col("_range").alias("_cut"), (F.col("_goal") - F.col("_before")).alias("_left"))
+    place = F.row_number().over(Window.partitionBy(*strata, "_range").orderBy("_key", id_col))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_s{k}")) for k, c in enumerate(strata)])
+    judged = keyed.withColumn("_place", place).join(cuts, same, "left")
+    dev = (F.col("_range") < F.col("_cut")) | ((F.col("_range") == F.col("_cut")) & (F.col("_place") <= F.col("_left")))
+    return judged.select(*[F.col(f"`{c}`") for c in labels.columns if c != "split"], F.when(dev, "dev").otherwise("test").alias("split"))
 
 
 def label_sheet(questions: DataFrame, candidates: DataFrame, answers: DataFrame, seed: str = SEED, width: int = 10, cut: int = 100) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.labels import number_rows
+
 TOP = 3
 # fixed values: outcome codes
 CORRECT, INCOMPLETE, WRONG, NOANS, REFUSE, FALSEPASS = range(6)
@@ -241,7 +243,8 @@ def hash_bootstrap(questions: DataFrame, value: str, draws: int, n: int | None =
 def rank_bootstrap(questions: DataFrame, value: str, draws: int, order: str = "qid", seed: str = "boot") -> DataFrame:
     """Means over ``draws`` resamples with replacement: draw, mean. Pick p of draw d is the row numbered by the first
     eight hex digits of MD5('seed:d:p') modulo the number of rows, so any engine can repeat it."""
-    numbered = questions.select((F.row_number().over(Window.orderBy(order)) - 1).alias("at"), F.col(value).alias("v"))
+    rows = questions.select(F.col(order).alias("_order"), F.col(value).alias("v"))
+    numbered = number_rows(rows, F.col("_order"), pattern="%d", name="at").select((F.col("at").cast("long") - 1).alias("at"), "v")
     n = questions.count()
     picks = questions.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"))
     at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("draw"), F.col("p")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n))

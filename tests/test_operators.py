@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +213,19 @@ def test_split_is_deterministic_and_stratified(spark):
     assert sum(v == "dev" for v in one.values()) == 180
 
 
+def test_split_cuts_each_stratum_by_its_hashes(spark):
+    rows = [(f"Q{k}", None if k % 5 == 0 else "ab"[k % 2], "x") for k in range(401)] + [("one", "c", "x")] * 3 + [("Z", "d", None)]
+    got = labels.split_dev_test(spark.createDataFrame(rows, "id string, g string, f string"), ratio=0.37, strata=("g", "f")).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault((r.g, r.f), []).append(r)
+    for own in by.values():
+        order = sorted(own, key=lambda r: (hashlib.sha1(f"{labels.SEED}:{r.id}".encode()).hexdigest(), r.id, r.split != "dev"))
+        cut = round(0.37 * len(own))
+        assert [r.split for r in order] == ["dev"] * cut + ["test"] * (len(own) - cut)
+
+
 def test_agreement(spark):
     df = spark.createDataFrame([("A", "A")] * 20 + [("A", "B")] * 5 + [("B", "A")] * 10 + [("B", "B")] * 15, "a string, b string")
     r = labels.agreement(df, "a", "b").first()
