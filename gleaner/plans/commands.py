@@ -293,20 +293,6 @@ def rerankers(spark: SparkSession, workbook: str, out: str, windows: list[tuple[
     return result
 
 
-def compare_rerankers(hits: DataFrame, gold: DataFrame, scorers: dict[str, object], windows: list[tuple[int, int]]) -> DataFrame:
-    """reranker, final_k, window and change counts. hits: ranked; gold: qid, gt_ids; scorers: name -> score column."""
-    out = None
-    has = F.array_contains("gt_ids", F.col("cid"))
-    base = hits.join(gold, "qid").groupBy("qid").agg(F.min(F.when(has, F.col("rank"))).alias("base"))
-    for name, scorer in scorers.items():
-        swept = retrieve.rerank_sweep(hits, scorer, windows).join(gold, "qid")
-        new = swept.groupBy("qid", "final_k", "window").agg(F.min(F.when(has, F.col("rank"))).alias("new")).join(base, "qid")
-        change = F.when(F.col("window") == F.col("final_k"), rankmetrics.change_class(F.col("base"), F.col("new"), F.col("final_k"))).otherwise(rankmetrics.change_class_buffer(F.col("base"), F.col("new"), F.col("final_k"), F.col("window")))
-        one = rankmetrics.change_counts(new.withColumn("change", change), ["final_k", "window"]).withColumn("reranker", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def cluster_questions(spark: SparkSession, workbook: str, sheet: str, out: str, sizes: list[int], spec: ModelSpec = ModelSpec("hashed")) -> DataFrame:
     """HDBSCAN of a labelled sheet for each minimum cluster size: quality and counts by setting."""
     rows = sheets.read_xlsx(spark, workbook, sheet, 8, 1).where("c1 is not null").select("pos", F.col("c1").alias("question"), F.col("c2").alias("expected"))
