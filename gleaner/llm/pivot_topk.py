@@ -285,7 +285,8 @@ def _search(distinct: DataFrame, d: int, n: int, k: int, pivots: int, sample: in
                     yield pd.DataFrame([{"page": page_ids[j], "q": q[w].tobytes(), "q_table": np.ascontiguousarray(q_table[w]).tobytes(), "beat": beat[w].tobytes(), "q1": np.frombuffer(r.q1, np.int64)[w].tobytes(), "q2": np.frombuffer(r.q2, np.int64)[w].tobytes()}])
 
     queries = blocks.where("asked > 0").select("q", "q_table", "beat", "q1", "q2")
-    meets = queries.mapInPandas(to_pages, "page int, q binary, q_table binary, beat binary, q1 binary, q2 binary").join(summaries, "page")
+    # copies of queries compress so well that Spark takes their tables for small and would broadcast them: joins by merging
+    meets = queries.mapInPandas(to_pages, "page int, q binary, q_table binary, beat binary, q1 binary, q2 binary").hint("merge").join(summaries, "page")
 
     def survive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -316,4 +317,4 @@ def _search(distinct: DataFrame, d: int, n: int, k: int, pivots: int, sample: in
                     yield pd.concat(out, ignore_index=True)
 
     pairs = materialise(meets.mapInPandas(survive, "block long, q binary, q_table binary, beat binary, q1 binary, q2 binary"), "pairs")
-    return pairs.join(blocks.select("block", "vecs", "table", "copies", "ids"), "block").mapInPandas(evaluate, "h1 long, h2 long, id long, score long")
+    return pairs.hint("merge").join(blocks.select("block", "vecs", "table", "copies", "ids"), "block").mapInPandas(evaluate, "h1 long, h2 long, id long, score long")

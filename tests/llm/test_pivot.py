@@ -51,3 +51,11 @@ def test_few_and_none(spark):
     one = spark.createDataFrame([(0, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in top_inner_products(one, F.col("id") % 2 == 0).collect()] == [(0, 1, 3, 256 * 512)]
     assert top_inner_products(one.limit(0), F.col("id") % 2 == 0).count() == 0
+
+
+def test_queries_and_blocks_are_never_broadcast(spark):
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(200)], "vec_id long, embedding array<double>")
+    top = top_inner_products(rows, F.col("id") % 5 == 0, pivots=4, block=16)
+    joins = [line for line in top._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "block" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
