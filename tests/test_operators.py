@@ -486,3 +486,10 @@ def test_histogram_at_the_edges_of_bins(spark):
     got = {r.bin: r.n for r in thresholds.histogram(spark.createDataFrame([(v,) for v in at], "v double"), "v", 0.0, 1.0).collect()}
     want = Counter(min(40, math.floor((v - 0.0) / 0.025) + 1) for v in at)
     assert got == want
+
+
+def test_distances_shuffle_each_block_few_times(spark):
+    """Blocks that meet are large, so what is shuffled stays small against the pairs: 30,000 points in 4 blocks are 10 meetings."""
+    df = spark.range(30_000).select(F.lit(0).alias("grp"), "id", F.array(F.col("id").cast("double")).alias("vec"))
+    met = cluster._meetings(df).select("block", "block2").collect()
+    assert {tuple(sorted(r)) for r in met} == {(a, b) for b in range(4) for a in range(b + 1)} and len(met) == 10
