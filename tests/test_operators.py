@@ -493,3 +493,9 @@ def test_distances_shuffle_each_block_few_times(spark):
     df = spark.range(30_000).select(F.lit(0).alias("grp"), "id", F.array(F.col("id").cast("double")).alias("vec"))
     met = cluster._meetings(df).select("block", "block2").collect()
     assert {tuple(sorted(r)) for r in met} == {(a, b) for b in range(4) for a in range(b + 1)} and len(met) == 10
+
+
+def test_cores_are_computed_once_for_mutual_reachability(spark):
+    df = spark.range(20).select(F.lit(0).alias("grp"), "id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+    made = cluster.mutual_reachability(df, cluster.core_distances(df, 4))
+    assert made._jdf.queryExecution().sparkPlan().toString().count("MapInPandas") == 1 and made.count() == 190
