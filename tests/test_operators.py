@@ -499,3 +499,18 @@ def test_cores_are_computed_once_for_mutual_reachability(spark):
     df = spark.range(20).select(F.lit(0).alias("grp"), "id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
     made = cluster.mutual_reachability(df, cluster.core_distances(df, 4))
     assert made._jdf.queryExecution().sparkPlan().toString().count("MapInPandas") == 1 and made.count() == 190
+
+
+def test_hdbscan_of_a_large_group(spark, monkeypatch):
+    """A group too large for one task gets the labels of hdbscan_points, ties of equal points included."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, s, (40, 3)) for c, s in ((0, 0.2), (1.2, 0.3), (4, 0.5))] + [rng.uniform(-2, 6, (30, 3)), np.full((6, 3), 2.0)])
+    df = spark.createDataFrame([(g, k, v.tolist()) for g, n in ((0, len(x)), (1, 20)) for k, v in enumerate(x[:n])], "grp int, id long, vec array<double>")
+    for name, value in (("MOST_POINTS", 50), ("_BLOCK", 32), ("_TILE", 8), ("_TREE", 12), ("_LINKS", 500)):
+        monkeypatch.setattr(cluster, name, value)
+    got = {(r.grp, r.id): (r.cluster, r.probability) for r in cluster.hdbscan(df, 4, normalize=False).collect()}
+    assert len(got) == len(x) + 20
+    for g, n in ((0, len(x)), (1, 20)):
+        want, sure = cluster.hdbscan_points(x[:n], 4)
+        assert [got[g, k][0] for k in range(n)] == want.tolist() and [got[g, k][1] for k in range(n)] == pytest.approx(sure.tolist())
+    assert len({c for c, _ in got.values()}) > 3
