@@ -495,6 +495,17 @@ def test_distances_shuffle_each_block_few_times(spark):
     assert {tuple(sorted(r)) for r in met} == {(a, b) for b in range(4) for a in range(b + 1)} and len(met) == 10
 
 
+@pytest.mark.parametrize("query", ["mutual_reachability"])
+def test_a_written_pair_takes_few_bytes(spark, tmp_path, query):
+    """Pairs of a matrix come by distance, so that equal ones stand together; in the order of ids a distance alone takes eight bytes."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(0, k, v.tolist()) for k, v in enumerate(rng.normal(size=(1500, 64)))], "grp int, id long, vec array<double>").repartition(1)
+    pairs = cluster.pairwise_distances(df) if query == "pairwise_distance" else cluster.mutual_reachability(df, cluster.core_distances(df, 4))
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 1500 * 1499 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 7 * 1500 * 1499 // 2
+
+
 def test_cores_are_computed_once_for_mutual_reachability(spark):
     df = spark.range(20).select(F.lit(0).alias("grp"), "id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
     made = cluster.mutual_reachability(df, cluster.core_distances(df, 4))
