@@ -495,7 +495,7 @@ def test_distances_shuffle_each_block_few_times(spark):
     assert {tuple(sorted(r)) for r in met} == {(a, b) for b in range(4) for a in range(b + 1)} and len(met) == 10
 
 
-@pytest.mark.parametrize("query", ["mutual_reachability"])
+@pytest.mark.parametrize("query", ["mutual_reachability", "pairwise_distance"])
 def test_a_written_pair_takes_few_bytes(spark, tmp_path, query):
     """Pairs of a matrix come by distance, so that equal ones stand together; in the order of ids a distance alone takes eight bytes."""
     rng = np.random.default_rng(2)
@@ -506,6 +506,20 @@ def test_a_written_pair_takes_few_bytes(spark, tmp_path, query):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 7 * 1500 * 1499 // 2
 
 
+@pytest.mark.parametrize("size", [3, 16])
+def test_pairs_matrix_by_matrix(spark, monkeypatch, size):
+    """Groups larger than a matrix: every pair comes once, whatever ids and odd vectors there are."""
+    for name, value in (("_BLOCK", 20), ("_TILE", 2), ("_SORTED", size), ("_PAIRS", 5)):
+        monkeypatch.setattr(cluster, name, value)
+    rng = np.random.default_rng(4)
+    x = {f"v{k}": v for k, v in enumerate(rng.normal(size=(30, 3)))} | {"same": np.ones(3), "equal": np.ones(3), "zero": np.zeros(3), "none": np.full(3, np.nan)}
+    df = spark.createDataFrame([("g", k, v.tolist()) for k, v in x.items()], "grp string, id string, vec array<double>")
+    rows = cluster.pairwise_distances(df, normalize=False).collect()
+    got = {(r.a, r.b): np.nan if r.dist is None else r.dist for r in rows}
+    assert len(rows) == len(got) == 34 * 33 // 2 and all(a < b for a, b in got)
+    assert all(np.isclose(d, np.linalg.norm(x[a] - x[b]), atol=1e-6, equal_nan=True) for (a, b), d in got.items())
+
+
 def test_cores_are_computed_once_for_mutual_reachability(spark):
     df = spark.range(20).select(F.lit(0).alias("grp"), "id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
     made = cluster.mutual_reachability(df, cluster.core_distances(df, 4))
